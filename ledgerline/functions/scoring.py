@@ -197,13 +197,23 @@ def _full_ratios(block: _Block, tokens: frozenset, canon: str, shared: np.ndarra
     return 100.0 - 100.0 * (total - 2 * matched) / total
 
 
-def block_best(probes, floors, texts, positions, cutoff: float) -> list[dict]:
+def best_of_block(texts, positions, cutoff: float):
+    """mapInPandas step: batches of distinct probe texts -> (text, score, row_pos) of the best."""
+    def run(batches):
+        block = _Block(list(texts))
+        for batch in batches:
+            found = block_best(batch["text"], [cutoff] * len(batch), block, positions, cutoff)
+            yield pd.DataFrame(found, columns=["probe", "score", "row_pos"])\
+                .rename(columns={"probe": "text"})
+    return run
+
+
+def block_best(probes, floors, block: _Block, positions, cutoff: float) -> list[dict]:
     """Best choice per probe: highest score, then lowest position; only scores >= its floor.
 
     Closed-form scores come first. The LCS runs only for choices whose upper bound can still win,
     best bound first, so no choice that could win is skipped.
     """
-    block = _Block(list(texts))
     positions = np.asarray(positions, dtype=np.int64)
     found = []
     for probe, floor in zip(probes, floors):
@@ -249,6 +259,6 @@ def block_matches(cutoff: float):
     @F.pandas_udf(MATCHES)
     def matches(probes: pd.Series, floors: pd.Series, texts: pd.Series,
                 positions: pd.Series) -> pd.Series:
-        return pd.Series([block_best(*row, cutoff) for row in
+        return pd.Series([block_best(p, f, _Block(list(t)), pos, cutoff) for p, f, t, pos in
                           zip(probes, floors, texts, positions)])
     return matches

@@ -13,6 +13,11 @@ BLANKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 _TOKEN_GAP = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS) + "]+"
 
 
+def constant_array(values: list[str]) -> Column:
+    """Array literal; one call instead of one per value (the texts hold no quotes)."""
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
 def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(BLANKS))
 
@@ -54,7 +59,7 @@ def is_address(value: Column) -> Column:
 
 
 def is_junk(value: Column) -> Column:
-    return fold(value).isin(K.JUNK_DESCRIPTIONS)
+    return F.array_contains(constant_array(K.JUNK_DESCRIPTIONS), fold(value))
 
 
 def is_valid_line(description: Column, quantity: Column, price: Column, total: Column) -> Column:
@@ -146,5 +151,5 @@ def section_lines(text: Column) -> Column:
     start = F.array_position(F.transform(lines, is_table_heading), F.lit(True)).cast("int")
     after = F.when(start > 0, F.slice(lines, start + 1, F.size(lines)))
     body = F.filter(after, lambda line: ~is_table_heading(line))
-    end = F.array_position(F.transform(body, is_footer), F.lit(True)).cast("int")
+    end = F.array_position(F.transform(body, lambda x: is_footer(x)), F.lit(True)).cast("int")
     return F.when(end > 0, F.slice(body, F.lit(1), end - 1)).otherwise(body)

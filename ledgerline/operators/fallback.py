@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import constants as K
 from ledgerline.functions.text import strip
+from ledgerline.operators.lineage import written
 from ledgerline.operators.positions import number_rows
 from ledgerline.schemas import RESULT
 
@@ -60,7 +61,8 @@ def fallback_replies(texts: DataFrame, extract: Callable[[str], str]) -> DataFra
 
 def fallback_extract(texts: DataFrame, extract: Callable[[str], str]):
     """-> (docs, lines, rejects(doc_id, error))."""
-    replies = fallback_replies(texts, extract)
+    # Written once: the function may be slow or costly and must not run again for each output.
+    replies = written(fallback_replies(texts, extract))
     read = replies.filter(F.col("error").isNull())
     head = ["document_number", "document_type", "customer_raw", "tax_amount", "shipping_amount",
             "total_amount"]

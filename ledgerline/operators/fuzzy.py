@@ -11,7 +11,8 @@ joined token sets, t the score to reach as a fraction, and keep = t / (2 - t):
    keep x la and la / keep can reach t: an equi-join on length bands. It runs only for probes
    without a 100 from step 1, and t is then the better of the cutoff and the score found so far.
 
-Both joins meet on packed rows, a bounded batch of probes against a bounded block of choices, and a
+A master of up to one block of distinct texts needs neither: the block goes to every probe.
+Otherwise both joins meet on packed rows, a bounded batch of probes against a bounded block of choices, and a
 vectorised kernel returns one best choice per probe and block; pairs are never rows.
 """
 
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scoring import block_matches
+from ledgerline.functions.scoring import best_of_block, block_matches
 from ledgerline.functions.text import tokens
 from ledgerline.operators.lineage import written
 
@@ -93,13 +94,21 @@ def _best(matches: DataFrame) -> DataFrame:
 
 
 def fuzzy_top1(probes: DataFrame, choices: DataFrame, cutoff: float,
-               broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+               broadcast_chars: int = BROADCAST_CHARS,
+               block_size: int = CHOICES_PER_BLOCK) -> DataFrame:
     """probes(text), choices(row_pos, text) -> (text, score, row_pos) for probes that match."""
-    keep = (cutoff / 100.0) / (2.0 - cutoff / 100.0)
     # Equal choices: only the earliest row can win.
-    wanted = written(_features(probes.select("text").dropna().distinct()))
-    offered = written(_features(choices.dropna(subset=["text"]).groupBy("text")
-                                .agg(F.min("row_pos").cast("long").alias("row_pos"))))
+    distinct = choices.filter(F.length("text") > 0).groupBy("text")\
+        .agg(F.min("row_pos").cast("long").alias("row_pos"))
+    wanted = probes.select("text").dropna().distinct()
+    head = distinct.limit(block_size + 1).collect()
+    if len(head) <= block_size:
+        return wanted.mapInPandas(
+            best_of_block([c["text"] for c in head], [c["row_pos"] for c in head], cutoff),
+            "text string, score double, row_pos bigint")
+
+    keep = (cutoff / 100.0) / (2.0 - cutoff / 100.0)
+    wanted, offered = written(_features(wanted)), written(_features(distinct))
     size = offered.agg(F.sum("length")).first()[0] or 0
     # A choice is held once per token and once per band.
     small = size <= broadcast_chars

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerline import constants as K
-from ledgerline.functions.text import fold, tokens
+from ledgerline.functions.text import constant_array, fold, tokens
 
 UNMAPPED = -1
 _ALIASES = [alias for aliases in K.COLUMN_ALIASES.values() for alias in aliases]
@@ -23,8 +23,8 @@ def heading_cells(cells: Column, cutoff: float = K.HEADER_CUTOFF) -> Column:
     """
     slack = (100.0 - cutoff) / 100.0
     longest = max(map(len, _ALIAS_TEXTS)) * (1 + slack) / (1 - slack)
-    alias_tokens = F.array(*map(F.lit, _ALIAS_TOKENS))
-    alias_texts = F.array(*map(F.lit, _ALIAS_TEXTS))
+    alias_tokens = constant_array(_ALIAS_TOKENS)
+    alias_texts = constant_array(_ALIAS_TEXTS)
 
     def may_be(x):
         near = F.exists(alias_texts, lambda alias: F.levenshtein(x["text"], alias)

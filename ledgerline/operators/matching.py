@@ -107,23 +107,27 @@ def match_items(queries: DataFrame, master: DataFrame, cutoff: float = K.ITEM_CU
     return exact.unionByName(fuzzy)
 
 
+def write_back(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Lines with their match: the number is replaced by a non-empty id, the matched description
+    and the confidence are always set. Adaptive execution splits the lines of a frequent value."""
+    matches = found.withColumnsRenamed({"item_number": "_number", "raw_description": "_description"})
+    same = ((F.coalesce(lines["item_number"], F.lit("")) == matches["_number"])
+            & (F.coalesce(lines["raw_description"], F.lit("")) == matches["_description"]))
+    return (lines.join(matches, same, "left")
+            .withColumn("item_number", F.coalesce(blank_to_null(F.col("item_id")), "item_number"))
+            .drop("_number", "_description", "item_id"))
+
+
 def resolve(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: DataFrame,
             customer_cutoff: float = K.CUSTOMER_CUTOFF, item_cutoff: float = K.ITEM_CUTOFF):
-    """Write matches back: -> (docs with customer_id, customer_matched, confidence;
-    lines with item_number replaced by a non-empty match, matched_description, match_confidence).
+    """-> (docs with customer_id, customer_matched, confidence; lines as from `write_back`).
 
-    Distinct names and distinct (number, description) pairs are matched, then joined back, so a
-    frequent value is matched once; adaptive execution splits its rows in the join back.
+    Distinct names and distinct (number, description) pairs are matched, so a frequent value is
+    matched once.
     """
     names = match_customers(docs, customers, customer_cutoff)
     docs = (docs.join(names, "customer_raw", "left")
             .withColumn("customer_confidence", F.coalesce("customer_confidence", F.lit(0.0))))
-    found = match_items(lines, items, item_cutoff).withColumnsRenamed(
-        {"item_number": "_number", "raw_description": "_description"})
-    lines = (lines.join(found, (F.coalesce(lines["item_number"], F.lit("")) == found["_number"])
-                        & (F.coalesce(lines["raw_description"], F.lit("")) == found["_description"]),
-                        "left")
-             .withColumn("item_number", F.coalesce(blank_to_null(F.col("item_id")), "item_number"))
-             .drop("_number", "_description", "item_id"))
+    lines = write_back(lines, match_items(lines, items, item_cutoff))
     docs = docs.join(document_confidence(docs, lines), "doc_id").drop("customer_confidence")
     return docs, lines

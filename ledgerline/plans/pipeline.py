@@ -1,32 +1,39 @@
 """The whole chain: extract by route, fall back, resolve, validate, route, nest."""
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
 from ledgerline.operators.fallback import fallback_extract
-from ledgerline.operators.fields import header_fields, page_texts, text_header_fields
-from ledgerline.operators.grid import extract_grids
+from ledgerline.operators.fields import (
+    header_fields, joined_texts, page_texts, text_header_fields)
+from ledgerline.operators.grid import clean_rows, grid_lines
 from ledgerline.operators.lineage import written
 from ledgerline.operators.matching import resolve
 from ledgerline.operators.nesting import nest
 from ledgerline.operators.tables import table_lines
 from ledgerline.operators.textdoc import page_items, text_items, with_text_fallback
 from ledgerline.operators.validation import validate
-from ledgerline.schemas import DOC_COLUMNS, LINE_COLUMNS
+from ledgerline.schemas import DOC, LINE
 
 
 @dataclass
 class Extracted:
-    """docs, lines, and texts(doc_id, part, text) that still need the fallback."""
+    """What one route reads: header fields of all its documents, lines, and texts(doc_id, part,
+    text) for the documents that turn out to have no line."""
 
     docs: DataFrame
     lines: DataFrame
-    open_texts: DataFrame
+    texts: DataFrame
 
 
 def extract_spreadsheets(rows: DataFrame, own_companies=None) -> Extracted:
-    return Extracted(*extract_grids(rows, own_companies))
+    """rows(doc_id, row_idx, cells)."""
+    rows = clean_rows(rows)
+    texts = joined_texts(rows)
+    return Extracted(header_fields(texts, own_companies=own_companies), grid_lines(rows),
+                     texts.selectExpr("doc_id", "part", "own_text as text"))
 
 
 def extract_pdfs(pages: DataFrame, tables: DataFrame | None = None,
@@ -37,45 +44,49 @@ def extract_pdfs(pages: DataFrame, tables: DataFrame | None = None,
         lines = with_text_fallback(table_lines(tables), lines)
     texts = page_texts(pages)
     docs = header_fields(texts, unquote=True, use_letterhead=True, own_companies=own_companies)
-    found = lines.select("doc_id").distinct()
-    return Extracted(docs.join(found, "doc_id", "left_semi"), lines,
-                     texts.join(found, "doc_id", "left_anti")
-                     .selectExpr("doc_id", "part", "own_text as text"))
+    return Extracted(docs, lines, texts.selectExpr("doc_id", "part", "own_text as text"))
 
 
 def extract_whole_texts(texts: DataFrame, own_companies=None) -> Extracted:
     """texts(doc_id, text), one row per document: as `extract_pdfs` without tables."""
-    lines = text_items(texts)
-    found = lines.select("doc_id").distinct()
-    return Extracted(
-        text_header_fields(texts, own_companies).join(found, "doc_id", "left_semi"), lines,
-        texts.join(found, "doc_id", "left_anti").selectExpr("doc_id", "0L as part", "text"))
+    return Extracted(text_header_fields(texts, own_companies), text_items(texts),
+                     texts.selectExpr("doc_id", "0L as part", "text"))
 
 
 def extract_images(texts: DataFrame) -> Extracted:
     """Recognised texts(doc_id, part, text) keep no layout: all of them need the fallback."""
-    nothing = extract_whole_texts(texts.select("doc_id", "text").limit(0))
-    return Extracted(nothing.docs, nothing.lines, texts)
+    spark = texts.sparkSession
+    return Extracted(spark.createDataFrame([], DOC), spark.createDataFrame([], LINE), texts)
 
 
 def combine(routes: list[Extracted], fallback=None):
-    """Union of the routes, with the fallback for open texts -> (docs, lines, rejects)."""
-    docs, lines, texts = routes[0].docs, routes[0].lines, routes[0].open_texts
-    for route in routes[1:]:
-        docs = docs.unionByName(route.docs)
-        lines = lines.unionByName(route.lines)
-        texts = texts.unionByName(route.open_texts)
+    """Union of the routes; documents without a line go through the fallback -> (docs, lines,
+    rejects).
+
+    The lines decide which documents are open, so they are computed once and written.
+    """
+    def union(name, columns):
+        frames = [getattr(route, name).select(columns) for route in routes]
+        return reduce(DataFrame.unionByName, frames)
+    lines = written(union("lines", LINE.names))
+    found = lines.select("doc_id").distinct()
+    docs = union("docs", DOC.names).join(found, "doc_id", "left_semi")
+    texts = union("texts", ["doc_id", "part", "text"]).join(found, "doc_id", "left_anti")
     if fallback is None:
         rejects = texts.selectExpr("doc_id", "'no line items and no fallback' as error").distinct()
         return docs, lines, rejects
     more_docs, more_lines, rejects = fallback_extract(texts, fallback)
-    return (docs.select(DOC_COLUMNS).unionByName(more_docs.select(DOC_COLUMNS)),
-            lines.select(LINE_COLUMNS).unionByName(more_lines.select(LINE_COLUMNS)), rejects)
+    return (docs.unionByName(more_docs.select(DOC.names)),
+            lines.unionByName(more_lines.select(LINE.names)), rejects)
 
 
 def process(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: DataFrame):
-    """Extracted docs and lines -> (nested results, reasons). Both inputs are read several times,
-    so they are written once to the shared checkpoint folder."""
+    """Extracted docs and lines -> (nested results, reasons).
+
+    Matching and validation read both several times, so they are written to the shared checkpoint
+    folder before and after matching.
+    """
     docs, lines = resolve(written(docs), written(lines), customers, items)
-    docs, lines, reasons = validate(docs, lines)
+    docs, lines, reasons = validate(written(docs), written(lines))
+    docs, reasons = written(docs), written(reasons)
     return nest(docs, lines, reasons), reasons

@@ -1,11 +1,10 @@
 """Master tables: every column a string, rows in load order."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline import constants as K
-from ledgerline.functions.text import strip
-from ledgerline.operators.grid import clean_rows
+from ledgerline.functions.text import constant_array
 
 
 def find_header_row(rows: DataFrame, keyword: str, depth: int = K.HEADER_SEARCH_ROWS) -> DataFrame:
@@ -25,7 +24,7 @@ def load_master(rows: DataFrame, key: str) -> DataFrame:
     header_row = find_header_row(rows, key).first()["header_row"]
     header = rows.filter(F.col("row_idx") == header_row).first()["cells"]
     names = [(i, c.strip()) for i, c in enumerate(header) if c is not None and c.strip()]
-    missing = F.transform(F.col("cells"), lambda c: F.when(~c.isin(K.MISSING_CELL_TEXTS), c))
+    missing = F.transform(F.col("cells"), lambda c: F.when(~F.array_contains(constant_array(K.MISSING_CELL_TEXTS), c), c))
     body = (rows.filter(F.col("row_idx") > header_row).withColumn("cells", missing)
             .filter(F.exists("cells", lambda c: c.isNotNull())))
     master = body.select(F.col("row_idx").cast("long").alias("row_pos"),
