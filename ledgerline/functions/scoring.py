@@ -22,20 +22,27 @@ from pyspark.sql import types as T
 from ledgerline import constants as K
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Bit-parallel LCS: one bit per character of `a`, cleared where a match chain grows."""
-    if not a or not b:
-        return 0
+def _places(a: str) -> dict[str, int]:
+    """Bit set of the positions of every character."""
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    return places
+
+
+def _lcs(places: dict[str, int], size: int, b: str) -> int:
+    """Bit-parallel LCS: one bit per character of the first text, cleared where a chain grows."""
+    full = (1 << size) - 1
     row = full
     for ch in b:
         hit = row & places.get(ch, 0)
         if hit:
             row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return size - row.bit_count()
+
+
+def lcs_length(a: str, b: str) -> int:
+    return _lcs(_places(a), len(a), b) if a and b else 0
 
 
 def _ratio(distance: int, total: int) -> float:
@@ -124,6 +131,9 @@ MATCHES = T.ArrayType(T.StructType([
 ]))
 
 
+_NOWHERE = np.iinfo(np.int64).max
+
+
 class _Block:
     """Lengths, character counts, token postings and character codes of a block of choices."""
 
@@ -134,7 +144,9 @@ class _Block:
         self.code = {ch: i for i, ch in enumerate(sorted(set("".join(self.canon))))}
         width = int(self.size.max(initial=0))
         self.codes = np.full((len(texts), width), len(self.code), dtype=np.int32)
-        self.counts = np.zeros((len(self.code), len(texts)), dtype=np.int32)
+        counter = np.uint8 if width < 256 else np.int32
+        self.counts = np.zeros((len(self.code), len(texts)), dtype=counter)
+        self.most = int(np.iinfo(counter).max)
         self.postings: dict[str, list[int]] = {}
         for i, canon in enumerate(self.canon):
             row = [self.code[ch] for ch in canon]
@@ -149,10 +161,12 @@ class _Block:
         for ch in canon:
             if ch in self.code:
                 bag[ch] = bag.get(ch, 0) + 1
-        common = np.zeros(len(self.canon), dtype=np.int64)
+        counter = self.counts.dtype.type
+        # A sum of these counts is at most the length of the choice and fits the counter.
+        common = np.zeros(len(self.canon), dtype=counter)
         for ch, n in bag.items():
-            common += np.minimum(self.counts[self.code[ch]], n)
-        return common
+            common += np.minimum(self.counts[self.code[ch]], counter(min(n, self.most)))
+        return common.astype(np.int64)
 
     def shared_length(self, probe_tokens: frozenset) -> np.ndarray:
         """Length of the joined common tokens with every choice."""
@@ -164,7 +178,11 @@ class _Block:
         return np.maximum(shared - 1, 0)
 
     def lcs(self, canon: str, picks: np.ndarray) -> np.ndarray:
-        """LCS with the picked choices, all at once; the probe has at most 64 characters."""
+        """LCS with the picked choices; many at once if the probe has at most 64 characters."""
+        if len(picks) < 128 or len(canon) > 64:
+            places = _places(canon)
+            return np.array([_lcs(places, len(canon), self.canon[i]) for i in picks],
+                            dtype=np.int64)
         places = np.zeros(len(self.code) + 1, dtype=np.uint64)
         for i, ch in enumerate(canon):
             if ch in self.code:
@@ -184,12 +202,8 @@ def _full_ratios(block: _Block, tokens: frozenset, canon: str, shared: np.ndarra
     total = len(canon) + block.size[picks]
     matched = np.zeros(len(picks), dtype=np.int64)
     alone = shared[picks] == 0
-    if len(canon) <= 64:
-        if alone.any():
-            matched[alone] = block.lcs(canon, picks[alone])
-    else:
-        for k in np.flatnonzero(alone):
-            matched[k] = lcs_length(canon, block.canon[picks[k]])
+    if alone.any():
+        matched[alone] = block.lcs(canon, picks[alone])
     for k in np.flatnonzero(~alone):
         other = block.tokens[picks[k]]
         matched[k] = shared[picks[k]] + 1 + lcs_length(" ".join(sorted(tokens - other)),
@@ -233,24 +247,28 @@ def block_best(probes, floors, block: _Block, positions, cutoff: float) -> list[
         bounds = 100.0 - 100.0 * (total - 2 * block.common_characters(canon)) / total
         bounds[contained] = 100.0
 
-        score, at = max(cutoff, floor), np.iinfo(np.int64).max
+        score, at = max(cutoff, floor), _NOWHERE
         top = scores.max(initial=0.0)
         if top >= score:
             score, at = top, positions[scores == top].min()
-        order = np.flatnonzero((bounds >= score) & ~contained & (block.size > 0))
-        order = order[np.argsort(-bounds[order], kind="stable")]
-        start, step = 0, 32
-        while start < len(order) and bounds[order[start]] >= score:
-            picks = order[start:start + step]
-            picks = picks[bounds[picks] >= score]
+        left = np.flatnonzero((bounds >= score) & ~contained & (block.size > 0))
+        step = 16
+        while len(left):
+            # The most promising choices first; what they reach closes most of the others.
+            if len(left) > step:
+                best = np.argpartition(-bounds[left], step)
+                picks, left = left[best[:step]], left[best[step:]]
+            else:
+                picks, left = left, left[:0]
             ratios = _full_ratios(block, tokens, canon, shared, picks)
             top = ratios.max()
             if top >= score:
                 first = positions[picks[ratios == top]].min()
                 at = first if top > score else min(at, first)
                 score = top
-            start, step = start + step, step * 2
-        if at < np.iinfo(np.int64).max:
+            left = left[bounds[left] >= score]
+            step = 512
+        if at < _NOWHERE:
             found.append({"probe": probe, "score": float(score), "row_pos": int(at)})
     return found
 

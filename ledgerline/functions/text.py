@@ -10,7 +10,6 @@ from ledgerline.functions.numbers import lenient_number
 
 # All characters that str.strip() and str.split() take as blank.
 BLANKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
-_TOKEN_GAP = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS) + "]+"
 
 
 def constant_array(values: list[str]) -> Column:
@@ -32,7 +31,8 @@ def blank_to_null(value: Column) -> Column:
 
 def tokens(value: Column) -> Column:
     """Distinct blank-separated tokens."""
-    return F.array_distinct(F.filter(F.split(value, _TOKEN_GAP), lambda t: t != ""))
+    spaced = F.translate(value, BLANKS, " " * len(BLANKS))
+    return F.array_distinct(F.filter(F.split(spaced, " "), lambda t: t != ""))
 
 
 def first_group(text: Column, pattern: str) -> Column:

@@ -28,8 +28,8 @@ def joined_texts(rows: DataFrame, part_rows: int = K.TEXT_ROWS_PER_PART) -> Data
     def joined(entries):
         return F.array_join(F.transform(entries, lambda r: r["piece"]), "\n")
     grouped = pieces.groupBy("doc_id", "part").agg(
-        F.array_sort(F.collect_list("r")).alias("all"),
-        F.array_sort(F.collect_list(F.when(F.col("of") == F.col("part"), F.col("r")))).alias("own"))
+        F.sort_array(F.collect_list("r")).alias("all"),
+        F.sort_array(F.collect_list(F.when(F.col("of") == F.col("part"), F.col("r")))).alias("own"))
     return grouped.select("doc_id", "part", joined(F.col("own")).alias("own_text"),
                           joined(F.col("all")).alias("text"))
 

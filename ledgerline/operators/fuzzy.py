@@ -34,7 +34,7 @@ BROADCAST_CHARS = 32 * 1024 * 1024
 def _features(df: DataFrame) -> DataFrame:
     """Adds tokens, heaviest first, and length, of the joined distinct tokens; drops blank texts."""
     heaviest = F.transform(
-        F.array_sort(F.transform(tokens(F.col("text")),
+        F.sort_array(F.transform(tokens(F.col("text")),
                                  lambda t: F.struct((-F.length(t)).alias("w"), t.alias("t")))),
         lambda s: s["t"])
     return (df.withColumn("tokens", heaviest).filter(F.size("tokens") > 0)
@@ -68,6 +68,10 @@ def _packed(keyed: DataFrame, columns: list[str], size: int) -> DataFrame:
             .select("key", "pack", *[F.col("rows." + c).alias(c + "s") for c in columns]))
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _compare(probes: DataFrame, choices: DataFrame, cutoff: float, small: bool) -> DataFrame:
     """(key, text, floor) against (key, text, row_pos) on key -> best (probe, score, row_pos)."""
     batches = _packed(probes, ["text", "floor"], PROBES_PER_BATCH)
@@ -77,11 +81,15 @@ def _compare(probes: DataFrame, choices: DataFrame, cutoff: float, small: bool)
         pairs = batches.join(F.broadcast(blocks), "key")
     else:
         # A frequent key has many batches: spread them, and copy its blocks to every spread.
-        spreads = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spreads = _shuffle_partitions(probes)
         pairs = (batches.withColumn("spread", F.pmod("pack", F.lit(spreads)))
                  .join(blocks.withColumn("spread", F.explode(
                      F.sequence(F.lit(0).cast("bigint"), F.lit(spreads - 1).cast("bigint")))),
                      ["key", "spread"]))
+    # The work is in the comparison, not in the bytes: a fixed number of partitions keeps adaptive
+    # execution from merging small but expensive ones.
+    context = probes.sparkSession.sparkContext
+    pairs = pairs.repartition(max(context.defaultParallelism, _shuffle_partitions(probes)))
     match = block_matches(cutoff)("texts", "floors", "choices", "row_poss")
     return pairs.select(F.explode(match).alias("m")).select("m.*")
 

@@ -15,32 +15,40 @@ _ALIAS_TOKENS = sorted({t for alias in _ALIASES for t in alias.split()})
 _ALIAS_TEXTS = sorted({" ".join(sorted(set(alias.split()))) for alias in _ALIASES})
 
 
-def heading_cells(cells: Column, cutoff: float = K.HEADER_CUTOFF) -> Column:
-    """Folded cells that may be headings, null elsewhere; JVM only, for every row of every grid.
+def near_headings(cells: Column, cutoff: float = K.HEADER_CUTOFF) -> Column:
+    """Cells as they are compared with the aliases, null where no alias can reach the cutoff.
 
-    Never drops a cell that reaches the cutoff with some alias: without a common token the score is
-    100 (1 - indel / (la + lb)), and the native edit distance is never above the indel distance.
+    JVM only, for every row of every grid. Never misses a cell: without a common token the score is
+    100 (1 - indel / (la + lb)), the native edit distance is never above the indel distance, and
+    the length difference never above both.
     """
     slack = (100.0 - cutoff) / 100.0
-    longest = max(map(len, _ALIAS_TEXTS)) * (1 + slack) / (1 - slack)
+    lengths = [(a, len(a), len(a) * (1 - slack) / (1 + slack), len(a) * (1 + slack) / (1 - slack))
+               for a in _ALIAS_TEXTS]
+    aliases = F.expr("array(" + ", ".join(
+        f"struct('{a}' as text, {n} as n, {low - 1e-9}D as low, {high + 1e-9}D as high)"
+        for a, n, low, high in lengths) + ")")
     alias_tokens = constant_array(_ALIAS_TOKENS)
-    alias_texts = constant_array(_ALIAS_TEXTS)
-
-    def may_be(x):
-        near = F.exists(alias_texts, lambda alias: F.levenshtein(x["text"], alias)
-                        <= F.lit(slack) * (F.length(x["text"]) + F.length(alias)) + 1e-9)
-        return ((x["text"] != "") & ~x["cell"].startswith("unnamed:")
-                & (F.arrays_overlap(x["words"], alias_tokens)
-                   | ((F.length(x["text"]) <= F.lit(longest)) & near)))
-
-    # One step per value that later steps use more than once.
-    folded = F.transform(cells, fold)
-    split = F.transform(folded, lambda c: F.struct(c.alias("cell"), F.array_sort(tokens(c))
-                                                   .alias("words")))
-    joined = F.transform(split, lambda x: F.struct(
-        x["cell"].alias("cell"), x["words"].alias("words"),
-        F.array_join(x["words"], " ").alias("text")))
-    return F.transform(joined, lambda x: F.when(may_be(x), x["cell"]))
+    letters = "[" + "".join(sorted(set("".join(_ALIAS_TEXTS)) - set(" "))) + "]"
+
+    def similar(cell):
+        return F.exists(aliases, lambda alias: (cell["n"] >= alias["low"])
+                        & (cell["n"] <= alias["high"])
+                        & (F.levenshtein(cell["text"], alias["text"])
+                           <= (cell["n"] + alias["n"]) * slack + 1e-9))
+
+    def sized(words):
+        text = F.array_join(F.sort_array(words), " ")
+        return F.transform(F.array(text), lambda t: F.struct(t.alias("text"),
+                                                            F.length(t).alias("n")))
+
+    def may_match(cell):
+        return F.exists(F.array(tokens(cell)), lambda words: F.arrays_overlap(words, alias_tokens)
+                        | F.exists(sized(words), similar))
+
+    # Numbers share no character with an alias and leave first.
+    return F.transform(F.transform(cells, fold), lambda c: F.when(
+        c.rlike(letters) & ~c.startswith("unnamed:") & may_match(c), c))
 
 
 def _open_scores(scores: Column, taken: Column) -> Column:

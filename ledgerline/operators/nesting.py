@@ -30,8 +30,8 @@ def nest(docs: DataFrame, lines: DataFrame, reasons: DataFrame,
                         F.lit(None).cast(grouped.schema["item"].dataType).alias("item"),
                         F.lit(None).cast(grouped.schema["entry"].dataType).alias("entry"))
     parts = (grouped.unionByName(entries).unionByName(heads).groupBy("doc_id", "part")
-             .agg(F.array_sort(F.collect_list("item")).alias("items"),
-                  F.array_sort(F.collect_list("entry")).alias("entries")))
+             .agg(F.sort_array(F.collect_list("item")).alias("items"),
+                  F.sort_array(F.collect_list("entry")).alias("entries")))
     names = [f.name for f in ITEM_FIELDS]
     return (parts.join(docs, "doc_id")
             .withColumn("items", F.transform("items", lambda x: F.struct(

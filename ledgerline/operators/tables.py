@@ -12,6 +12,7 @@ from ledgerline.functions.numbers import lenient_number
 from ledgerline.functions.scoring import partial_score, with_field_scores
 from ledgerline.operators.grid import as_lines
 from ledgerline.operators.headings import field_value, first_field_mapping
+from ledgerline.operators.lineage import written
 from ledgerline.operators.positions import number_rows
 
 TABLE = ["doc_id", "page", "table_idx"]
@@ -39,7 +40,7 @@ def table_lines(tables: DataFrame) -> DataFrame:
         lenient_number(value("total_line_amount")).alias("total_price"))
     cuts = (fields.filter(T.is_footer(F.col("raw_description")))
             .groupBy(*TABLE).agg(F.min("row_idx").alias("cut")))
-    items = (fields.join(cuts, TABLE, "left")
+    items = written(fields.join(cuts, TABLE, "left")
              .filter(F.col("cut").isNull() | (F.col("row_idx") < F.col("cut"))).drop("cut")
              .filter(T.is_valid_line(F.col("raw_description"), F.col("quantity"),
                                      F.col("unit_price"), F.col("total_price"))))

@@ -12,6 +12,7 @@ from ledgerline import constants as K
 from ledgerline.functions import text as T
 from ledgerline.functions.numbers import lenient_number
 from ledgerline.operators.grid import as_lines
+from ledgerline.operators.lineage import written
 from ledgerline.operators.positions import number_rows
 
 
@@ -54,24 +55,50 @@ def text_items(texts: DataFrame) -> DataFrame:
                                  F.lit(None).cast("string").alias("item_number"), "x.*"))
 
 
+def section_bounds(pages: DataFrame) -> DataFrame:
+    """pages(doc_id, page, text) -> (doc_id, start, end), places (page, pos) of the first heading
+    and of the first footer line after it (null without one).
+
+    Each page is reduced to three positions before anything is shuffled.
+    """
+    lines = T.text_lines(F.col("text"))
+    kinds = F.transform(lines, lambda line: F.when(T.is_table_heading(line), "h")
+                        .when(T.is_footer(line), "f").otherwise(""))
+    marks = (pages.select("doc_id", "page", kinds.alias("kinds"))
+             .withColumn("heading", F.nullif(F.array_position("kinds", "h"), F.lit(0)))
+             .withColumn("footer", F.nullif(F.array_position("kinds", "f"), F.lit(0)))
+             .withColumn("later", F.nullif(F.array_position(
+                 F.expr("slice(kinds, int(coalesce(heading, 0)) + 1, size(kinds))"), "f"),
+                 F.lit(0)))
+             .select("doc_id", "page", "heading", "footer",
+                     (F.col("heading") + F.col("later")).alias("closing")))
+    starts = (marks.filter("heading is not null").groupBy("doc_id")
+              .agg(F.min(F.struct("page", "heading", "closing")).alias("s"))
+              .select("doc_id", F.struct("s.page", F.col("s.heading").alias("pos")).alias("start"),
+                      "s.closing"))
+    later = (marks.filter("footer is not null").join(starts, "doc_id")
+             .filter(F.col("page") > F.col("start.page")).groupBy("doc_id")
+             .agg(F.min(F.struct("page", F.col("footer").alias("pos"))).alias("next")))
+    closing = F.when(F.col("closing").isNotNull(),
+                     F.struct(F.col("start.page"), F.col("closing").alias("pos")))
+    return starts.join(later, "doc_id", "left")\
+        .select("doc_id", "start", F.coalesce(closing, "next").alias("end"))
+
+
 def page_items(pages: DataFrame) -> DataFrame:
     """pages(doc_id, page, text) -> lines of the section that starts below the first heading of the
     document and ends at the first footer line after it, on whichever pages these are."""
-    lines = pages.select("doc_id", "page", F.posexplode(T.text_lines(F.col("text")))
-                         .alias("pos", "line"))
-    place = F.struct("page", "pos")
-    marks = lines.withColumn("heading", T.is_table_heading(F.col("line")))
-    starts = marks.filter("heading").groupBy("doc_id").agg(F.min(place).alias("start"))
-    body = (marks.filter("not heading").join(starts, "doc_id").filter(place > F.col("start")))
-    ends = (body.filter(T.is_footer(F.col("line"))).groupBy("doc_id")
-            .agg(F.min(place).alias("end")))
-    items = (body.join(ends, "doc_id", "left")
-             .filter(F.col("end").isNull() | (place < F.col("end")))
-             .select("doc_id", "page", "pos", F.filter(
-                 F.array(line_struct(line_parts(F.col("line")))), _is_item).alias("x"))
-             .select("doc_id", "page", "pos", F.explode("x").alias("x"))
-             .select("doc_id", "page", "pos", "x.*",
-                     F.lit(None).cast("string").alias("item_number")))
+    inside = (pages.join(section_bounds(pages), "doc_id")
+              .filter((F.col("page") >= F.col("start.page"))
+                      & (F.col("end").isNull() | (F.col("page") <= F.col("end.page")))))
+    skip = F.when(F.col("page") == F.col("start.page"), F.col("start.pos")).otherwise(F.lit(0))
+    stop = F.when(F.col("page") == F.col("end.page"), F.col("end.pos"))
+    lines = F.filter(T.text_lines(F.col("text")), lambda line, i: (i >= skip)
+                     & (stop.isNull() | (i < stop - 1)) & ~T.is_table_heading(line))
+    found = F.filter(F.transform(F.transform(lines, line_parts), line_struct), _is_item)
+    items = written(inside.select("doc_id", "page", F.posexplode(found).alias("pos", "x"))
+                    .select("doc_id", "page", "pos", "x.*",
+                            F.lit(None).cast("string").alias("item_number")))
     return as_lines(number_rows(items, "doc_id", ["page", "pos"], [F.col("page")], "line_pos"))
 
 

@@ -36,6 +36,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows on all cores where the input file has too few splits for the work per row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _array(values) -> str:
     """SQL text of an array of strings and nulls."""
     return "array(" + ", ".join("null" if v is None else f"'{v}'" for v in values) + ")"
@@ -62,7 +68,7 @@ def order_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order: key o, customer name, lines, tax, shipping and total in cents."""
     orders = table(spark, folder, "orders").selectExpr("o_orderkey as o", "o_custkey")
     customer = table(spark, folder, "customer").selectExpr("c_custkey as o_custkey", "c_name")
-    return (orders.join(customer, "o_custkey")
+    return (spread(orders).join(customer, "o_custkey")
             .selectExpr("o", "c_name", f"transform(sequence(1L, o % 3 + 1), k -> {_LINE}) as lines",
                         "(o * 3) % 900 as tax", "(o * 11) % 1500 as shipping")
             .selectExpr("*", """if(o % 5 != 0, tax + shipping + if(o % 7 = 0, 500, 0) + aggregate(

@@ -112,7 +112,7 @@ def parse_numbers(spark, folder):
 
 
 def _native_texts(spark, folder):
-    return C.table(spark, folder, "documents").select("doc_id", "text")
+    return C.spread(C.table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query
