@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline import constants as K
 from ledgerline.functions.text import strip
@@ -17,6 +18,7 @@ from ledgerline.operators.lineage import written
 from ledgerline.operators.positions import number_rows
 from ledgerline.schemas import RESULT
 
+_UNREAD = "_unread"
 _REPLY = "doc_id string, part bigint, reply string, error string"
 
 
@@ -47,13 +49,15 @@ def fallback_replies(texts: DataFrame, extract: Callable[[str], str]) -> DataFra
     replies = (texts.filter(~blank).select("doc_id", F.col("part").cast("bigint").alias("part"),
                                            "text")
                .mapInPandas(_calling(extract), _REPLY))
-    # Strict: a value of the wrong type leaves the whole reply unread.
-    parsed = F.from_json("reply", RESULT, {"mode": "PERMISSIVE",
-                                           "columnNameOfCorruptRecord": "_unread"})
-    kind = F.col("result.document_type")
-    readable = F.col("result").isNotNull() & F.coalesce(kind.isin(K.DOCUMENT_TYPES), F.lit(True))
-    answered = replies.withColumn("result", parsed).select(
-        "doc_id", "part", F.when(readable, F.col("result")).alias("result"),
+    # Strict: text that is no JSON, or a value of the wrong type, makes the whole reply unread.
+    schema = T.StructType([*RESULT.fields, T.StructField(_UNREAD, T.StringType())])
+    parsed = replies.withColumn("parsed", F.from_json(
+        "reply", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _UNREAD}))
+    kind = F.col("parsed.document_type")
+    readable = (F.col("parsed").isNotNull() & F.col(f"parsed.{_UNREAD}").isNull()
+                & F.coalesce(kind.isin(K.DOCUMENT_TYPES), F.lit(True)))
+    answered = parsed.select(
+        "doc_id", "part", F.when(readable, F.col("parsed").dropFields(_UNREAD)).alias("result"),
         F.when(F.col("error").isNotNull(), F.col("error"))
         .when(~readable, F.lit("reply does not fit the result schema")).alias("error"))
     return guarded.unionByName(answered)

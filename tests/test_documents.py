@@ -201,6 +201,8 @@ def answering():
     def answer(text):
         if "boom" in text:
             raise RuntimeError("no reply")
+        if "wrong" in text:
+            return json.dumps({"total_amount": "much"})
         if "bad" in text:
             return "not json"
         return json.dumps({"document_number": "N", "document_type": "invoice",
@@ -210,7 +212,7 @@ def answering():
 
 def test_fallback(spark):
     texts = spark.createDataFrame(
-        [("a", 0, "fine"), ("b", 0, "boom"), ("c", 0, " \n"), ("d", 0, "bad"), ("e", 0, "p0"),
+        [("a", 0, "fine"), ("b", 0, "boom"), ("c", 0, " \n"), ("d", 0, "bad"), ("f", 0, "wrong"), ("e", 0, "p0"),
          ("e", 1, "p1")], "doc_id string, part int, text string")
     docs, lines, rejects = fallback_extract(texts, answering())
     heads = {r.doc_id: r for r in docs.collect()}
@@ -219,7 +221,7 @@ def test_fallback(spark):
     assert [(r.doc_id, r.line_pos, r.raw_description) for r in lines.orderBy("doc_id", "line_pos")
             .collect()] == [("a", 0, "fine"), ("e", 0, "p0"), ("e", 1, "p1")]
     assert {r.doc_id: r.error for r in rejects.collect()} == {
-        "b": "RuntimeError: no reply", "d": "reply does not fit the result schema"}
+        "b": "RuntimeError: no reply", "d": "reply does not fit the result schema", "f": "reply does not fit the result schema"}
 
 
 def test_images_need_the_fallback(spark):
