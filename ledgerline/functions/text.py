@@ -79,8 +79,9 @@ def document_number(text: Column) -> Column:
 
 
 def amount(text: Column, pattern: str) -> Column:
-    found = first_group(text, pattern)
-    return F.when(found.isNotNull(), lenient_number(found))
+    # The array holds the match, so the search runs once although the parser reads it twice.
+    found = F.filter(F.array(first_group(text, pattern)), lambda m: m.isNotNull())
+    return F.get(F.transform(found, lambda m: lenient_number(m)), F.lit(0))
 
 
 def tax_amount(text: Column) -> Column:

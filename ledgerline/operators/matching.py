@@ -11,6 +11,7 @@ from ledgerline import constants as K
 from ledgerline.functions.numbers import round_binary
 from ledgerline.functions.text import blank_to_null, clean_counterparty, fold, strip
 from ledgerline.operators.fuzzy import fuzzy_top1
+from ledgerline.operators.lineage import written
 from ledgerline.operators.totals import document_confidence
 
 
@@ -123,11 +124,11 @@ def resolve(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: Data
     """-> (docs with customer_id, customer_matched, confidence; lines as from `write_back`).
 
     Distinct names and distinct (number, description) pairs are matched, so a frequent value is
-    matched once.
+    matched once. The matched lines are written once: the confidence and all later steps read them.
     """
     names = match_customers(docs, customers, customer_cutoff)
     docs = (docs.join(names, "customer_raw", "left")
             .withColumn("customer_confidence", F.coalesce("customer_confidence", F.lit(0.0))))
-    lines = write_back(lines, match_items(lines, items, item_cutoff))
+    lines = written(write_back(lines, match_items(lines, items, item_cutoff)))
     docs = docs.join(document_confidence(docs, lines), "doc_id").drop("customer_confidence")
     return docs, lines

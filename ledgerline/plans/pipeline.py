@@ -84,9 +84,9 @@ def process(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: Data
     """Extracted docs and lines -> (nested results, reasons).
 
     Matching and validation read both several times, so they are written to the shared checkpoint
-    folder before and after matching.
+    folder before and after matching (lines by `resolve`).
     """
     docs, lines = resolve(written(docs), written(lines), customers, items)
-    docs, lines, reasons = validate(written(docs), written(lines))
+    docs, lines, reasons = validate(written(docs), lines)
     docs, reasons = written(docs), written(reasons)
     return nest(docs, lines, reasons), reasons
