@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.operators.lineage import ensure_checkpoint_dir
 
@@ -31,6 +32,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def literals(values: Iterable[int | str | bool | None], kind: str) -> Column:
+    """An array of constants, as one parsed expression."""
+    quoted = (f"'{v.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}'"
+              if isinstance(v, str) else "null" if v is None else f"'{v}'" for v in values)
+    return F.expr(f"cast(array({', '.join(quoted)}) as array<{kind}>)")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Limit the rows of Arrow batches of this session; a smaller limit stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import literals
+
 #: Words of a k-gram, k-grams of a window. Texts that share K + WINDOW - 1 words in a row share a
 #: fingerprint.
 K, WINDOW = 4, 4
@@ -104,17 +106,13 @@ def with_edits(docs: DataFrame) -> DataFrame:
     shares = [k / STRETCHES for k in range(1, STRETCHES)]
     cuts = rows.agg(F.percentile_approx("__order", shares, 10_000)).first()[0]
     borders = sorted(set(cuts or []))
-    stretch = F.size(F.filter(F.array(*map(F.lit, borders)).cast("array<bigint>"),
-                              lambda b: b <= F.col("__order")))
+    stretch = F.size(F.filter(literals(borders, "bigint"), lambda b: b <= F.col("__order")))
     firsts = sorted(tuple(r) for r in rows.groupBy(stretch.alias("s")).agg(
         F.min("__order")).collect())
     # The first row of a stretch also ends the stretch before it, the very first the last.
-    heads = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    ends = F.lit(None).cast("int")
-    if heads:
-        known = F.create_map(*[F.lit(x).cast(t) for first, s in heads.items()
-                               for x, t in ((first, "long"), (s, "int"))])
-        ends = F.try_element_at(known, F.col("__order"))
+    before = F.map_from_arrays(literals([first for _, first in firsts], "bigint"),
+                               literals([firsts[i - 1][0] for i in range(len(firsts))], "int"))
+    ends = F.try_element_at(before, F.col("__order"))
     own = F.struct(stretch.cast("int").alias("s"), F.lit(0).alias("ghost"))
     places = F.when(ends.isNotNull(), F.array(own, F.struct(
         ends.alias("s"), F.lit(1).alias("ghost")))).otherwise(F.array(own))

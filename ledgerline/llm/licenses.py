@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import literals, stored
 
 UNKNOWN = "unknown"
 FEATURES = 1 << 13
@@ -127,9 +127,9 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def _table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    found = F.explode(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(b).alias("paragraph"))
-                                for a, b in rows]))
-    return spark.range(1).select(found.alias("r")).select("r.*")
+    families, texts = zip(*rows, strict=True)
+    return spark.range(1).select(F.inline(F.arrays_zip(
+        literals(families, "string").alias("family"), literals(texts, "string").alias("paragraph"))))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -156,7 +156,7 @@ class Scanner:
         scored = self.model.transform(_features(df))
         share = F.element_at(vector_to_array("probability"), F.col("prediction").cast("int") + 1)
         return scored.withColumn("family", F.element_at(
-            F.array(*map(F.lit, FAMILIES)), F.col("prediction").cast("int") + 1)).withColumn(
+            literals(FAMILIES, "string"), F.col("prediction").cast("int") + 1)).withColumn(
             "share", share).drop("features", "rawPrediction", "probability", "prediction")
 
 
@@ -179,7 +179,7 @@ def train(docs: DataFrame) -> Scanner:
     others = _table(spark, [(UNKNOWN, t) for t in OTHERS])
     rows = given.union(cut).union(others).union(sample.filter("not held").select(
         F.lit(UNKNOWN), "paragraph"))
-    number = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
+    number = F.array_position(literals(FAMILIES, "string"), F.col("family")) - 1
     # A bounded sample: few tasks make the rounds of the fit short.
     fitted = stored(rows.withColumn("label", number.cast("double")).coalesce(2))
     model = LogisticRegression(maxIter=30, regParam=1e-4, family="multinomial").fit(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import literals, stored
 
 # Formats of personal data, honorifics by gender.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"
@@ -102,11 +102,10 @@ def _name(kind: Column, original: Column, seed: Column, attempt: Column) -> Colu
     for script, pool in SYLLABLES.items():
         places = F.transform(F.sequence(F.lit(0), 1 + F.least(attempt, F.lit(6))),
                              lambda i: (_stream(seed, i) % 20 + 1).cast("int"))
-        known = F.array(*map(F.lit, pool))
-        stem = F.array_join(_picked(known, places), "")
+        stem = F.array_join(_picked(literals(pool, "string"), places), "")
         for role in ("m", "f", "n", "family"):
             ends = ENDINGS[script, role]
-            end = F.element_at(F.array(*map(F.lit, ends)),
+            end = F.element_at(literals(ends, "string"),
                                (_stream(seed, F.lit(40)) % len(ends) + 1).cast("int"))
             here = (kind == ("family" if role == "family" else f"given_{role}")) & (
                 _script(original) == script)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import literals, stored
 
 #: First probes over the whole key range, and probes inside an interval that stays open.
 FIRST_PROBES, PROBES = 1 << 14, 256
@@ -34,11 +34,12 @@ class _Interval:
 
 def _probed(keys: DataFrame, intervals: list[_Interval]) -> DataFrame:
     """keys with the interval's number i and the stretch p within it; both null outside."""
-    known = F.array(*[F.struct(
-        F.lit(i).alias("i"), F.lit(x.fixed is None).alias("by_hash"),
-        F.lit(x.fixed or 0).cast("long").alias("fixed"), F.lit(x.lo).cast("long").alias("lo"),
-        F.lit(x.hi).cast("long").alias("hi"), F.lit(min(x.step, 2**55)).cast("long").alias("step"))
-        for i, x in enumerate(intervals)])
+    fields = {"i": (range(len(intervals)), "int"),
+              "by_hash": ([x.fixed is None for x in intervals], "boolean"),
+              "fixed": ([x.fixed or 0 for x in intervals], "bigint"),
+              "lo": ([x.lo for x in intervals], "bigint"), "hi": ([x.hi for x in intervals], "bigint"),
+              "step": ([min(x.step, 2**55) for x in intervals], "bigint")}
+    known = F.arrays_zip(*[literals(v, kind).alias(name) for name, (v, kind) in fields.items()])
     at = F.greatest(_part([x.begin() for x in intervals]), F.lit(1))
     rows = keys.withColumn("at", F.element_at(known, at))
     rows = rows.withColumn("key", F.when(F.col("at.by_hash"), F.col("__h")).otherwise(F.col("__d")))
@@ -85,10 +86,11 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
                         break
                     below += row.bytes
                 start = (row.h0, -2**63) if interval.fixed is None else (row.h0, row.d0)
-                one = row.h0 == row.h1 and (interval.fixed is not None and row.d0 == row.d1)
-                if goals[k] - below <= allowed or one:
+                short, over = goals[k] - below, below + row.bytes - goals[k]
+                one = row.h0 == row.h1 and row.d0 == row.d1
+                if short <= allowed or one and short <= over:
                     done[k] = start
-                elif below + row.bytes - goals[k] <= allowed:
+                elif over <= allowed or one:
                     done[k] = (row.h1, 2**63 - 1) if interval.fixed is None else (row.h1, row.d1)
                     done[k] = (done[k][0], done[k][1], 1)
                 else:
@@ -101,15 +103,17 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
     return [done[k] for k in sorted(done)]
 
 
-def _part(borders: list[tuple], first: int = 0) -> Column:
+def _part(borders: list[tuple]) -> Column:
     """Number of borders at or below a row's key, as a balanced tree of comparisons."""
-    if not borders:
-        return F.lit(first)
-    m = len(borders) // 2
-    h, d, *after = borders[m]
-    reached = F.col("__d") > d if after else F.col("__d") >= d
-    return F.when((F.col("__h") > h) | ((F.col("__h") == h) & reached),
-                  _part(borders[m + 1:], first + m + 1)).otherwise(_part(borders[:m], first))
+    def tree(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        m = (lo + hi) // 2
+        h, d, *after = borders[m]
+        reached = f"__h > {h}L or __h = {h}L and __d {'>' if after else '>='} bigint('{d}')"
+        return f"if({reached}, {tree(m + 1, hi)}, {tree(lo, m)})"
+
+    return F.expr(tree(0, len(borders)))
 
 
 def shard(docs: DataFrame, shards: int = 24, parts_per_shard: int = 8,
@@ -141,8 +145,7 @@ def shard(docs: DataFrame, shards: int = 24, parts_per_shard: int = 8,
         before.append(run)
         shard_of.append(s)
         run += n_of.get(p, 0)
-    at = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]),
-                                           F.col("__part") + 1)
+    at = lambda values, kind: F.element_at(literals(values, kind), F.col("__part") + 1)
     crc = F.crc32(F.coalesce("text", F.lit(""))).cast("long")
     order = Window.partitionBy("__part").orderBy("__h", "__d", "text_crc32")
     return (rows.withColumn("__part", part).withColumn("text_crc32", crc)
