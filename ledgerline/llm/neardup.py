@@ -3,8 +3,9 @@
 The samples of a MinHash signature serve twice. Bands of four samples find candidates; all samples
 are folded into a bitmap in which each (place, sample) flips one bit. Two bitmaps differ in at most
 two bits for every place where the samples differ, so the population count of their XOR bounds and
-estimates the similarity of a candidate pair without its texts. Pairs that pass are confirmed on
-their full shingle sets.
+estimates the similarity of a candidate pair without its texts. A second bitmap folds the whole set
+(a sample of all): its XOR never has more bits than the symmetric difference has members, which
+sorts out pairs just below the threshold. Pairs that pass are confirmed on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from .common import (mixed, shingle_hashes, small_batches, steps, stored, text_bytes, word_hashes)
 from .components import components
 
-BANDS, ROWS, BITS = 32, 4, 1024
+BANDS, ROWS, BITS, WHOLE_BITS = 32, 4, 1024, 2048
 #: Members of a bucket that one group of the cross-component search holds, on average.
 BLOCK = 4096
 #: Groups into which the partners of one text are dealt for confirmation.
 SPREAD = 64
-#: Pairs of sketches compared in one numpy step.
-_TILE = 1024
+#: Rounds that follow only the likeliest link of each member before all are followed.
+ROUNDS = 5
+#: Rows and columns of sketches compared in one numpy step.
+_TILE = 256
 
 _draws = np.random.default_rng(7)
 _FACTOR = _draws.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -51,6 +54,12 @@ def odd_sketches(rows: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(bool), axis=1)
 
 
+def whole_sketch(shingles: np.ndarray) -> bytes:
+    """Parity bitmap of all members of a set."""
+    bit = (mixed(shingles) % np.uint64(WHOLE_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=WHOLE_BITS) & 1).astype(bool)).tobytes()
+
+
 def band_keys(rows: np.ndarray) -> np.ndarray:
     parts = mixed(rows).reshape(len(rows), BANDS, ROWS)
     keys = np.zeros((len(rows), BANDS), np.uint64)
@@ -72,6 +81,39 @@ def most_bits(percent: int) -> int:
     return 2 * math.ceil(k * miss + 6 * math.sqrt(k * miss * (1 - miss)))
 
 
+class _Sketches:
+    """Sketches of some members: set sizes and bitmaps of samples and of whole sets."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes]):
+        rows = np.frombuffer(b"".join(sketches), np.uint64).reshape(
+            -1, (BITS + WHOLE_BITS) // 64)
+        self.sizes, self.some, self.whole = sizes, rows[:, :BITS // 64], rows[:, BITS // 64:]
+
+    def take(self, rows: np.ndarray) -> _Sketches:
+        out = object.__new__(_Sketches)
+        out.sizes, out.some, out.whole = self.sizes[rows], self.some[rows], self.whole[rows]
+        return out
+
+    @staticmethod
+    def joined(parts: list[_Sketches]) -> _Sketches:
+        out = object.__new__(_Sketches)
+        for name in ("sizes", "some", "whole"):
+            setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
+        return out
+
+
+def near(x: _Sketches, y: _Sketches, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sketches row by row: which pairs can reach the similarity, and the bits that differ."""
+    least, most = np.minimum(x.sizes, y.sizes), np.maximum(x.sizes, y.sizes)
+    bits = np.bitwise_count(x.some ^ y.some).sum(axis=1, dtype=np.int64)
+    apart = np.bitwise_count(x.whole ^ y.whole).sum(axis=1, dtype=np.int64)
+    # |difference| <= |x| + |y| - 2 * |intersection|, and the intersection of a linked pair has at
+    # least percent / (100 + percent) of |x| + |y| members.
+    ok = (bits <= most_bits(percent)) & (100 * least >= percent * most) & (
+        (100 + percent) * apart <= (100 - percent) * (x.sizes + y.sizes))
+    return ok, bits + apart
+
+
 _SIGNATURE = ("doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
@@ -84,11 +126,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 words, of_text = word_hashes(*text_bytes(part["text"]))
                 n = part.num_rows
                 size, k1, k2 = (np.zeros(n, np.int64) for _ in range(3))
-                rows = np.zeros((n, BANDS * ROWS), np.uint64)
+                rows, whole = np.zeros((n, BANDS * ROWS), np.uint64), [b""] * n
                 for i, found in enumerate(shingle_hashes(words, of_text, shingle)):
                     size[i] = len(found)
                     if len(found):
-                        rows[i] = samples(found)
+                        rows[i], whole[i] = samples(found), whole_sketch(found)
                         k1[i] = mixed(found).sum().view(np.int64)
                         k2[i] = mixed(found ^ np.uint64(0x5DEECE66D)).sum().view(np.int64)
                 keys, sketch = band_keys(rows), odd_sketches(rows)
@@ -98,8 +140,9 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     keys[some].ravel(), mask=pa.array(~some))
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], size, k1, k2, bands,
-                     pa.array([s.tobytes() if ok else None
-                               for s, ok in zip(sketch, some, strict=True)], pa.binary())],
+                     pa.array([s.tobytes() + w if ok else None
+                               for s, w, ok in zip(sketch, whole, some, strict=True)],
+                              pa.binary())],
                     ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
     small_batches(docs.sparkSession)
@@ -139,23 +182,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
             .mapInArrow(run, "a long, b long").distinct())
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, bits: int) -> DataFrame:
-    """Of pairs (a, b), those whose odd sketches differ in no more than so many bits."""
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sketches can reach the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-                    for c in ("x", "y"))
-            keep = np.bitwise_count(x ^ y).sum(axis=1) <= bits
-            yield pa.RecordBatch.from_arrays(
-                [batch[c].filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            x, y = (_Sketches(batch[f"n{c}"].to_numpy(), batch[c].to_pylist()) for c in "xy")
+            keep = pa.array(near(x, y, percent)[0])
+            yield pa.RecordBatch.from_arrays([batch[c].filter(keep) for c in "ab"], ["a", "b"])
 
-    at = lambda side, name: sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(name))
-    return (pairs.join(at("a", "x"), "a").join(at("b", "y"), "b").select("a", "b", "x", "y")
+    at = lambda side, name: sketches.select(
+        F.col("doc_id").alias(side), F.col("sketch").alias(name), F.col("n").alias(f"n{name}"))
+    return (pairs.join(at("a", "x"), "a").join(at("b", "y"), "b")
             .mapInArrow(run, "a long, b long"))
 
 
-def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, bits: int) -> DataFrame:
-    """Pairs of one bucket whose members lie in different components and whose sketches are near.
+def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int,
+            best: bool) -> DataFrame:
+    """Pairs of one bucket whose members lie in different components and whose sketches are near;
+    with `best`, only the nearest for each member that is sent to a block.
 
     Only buckets with several components take part. The members of a bucket's largest component
     are dealt into blocks; the others, few as a rule, are sent to every block. Every pair of
@@ -166,7 +210,7 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, bits: in
     open_buckets = stored(sizes.groupBy("band", "key").agg(
         F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"),
         F.count("*").alias("parts")).filter("parts > 1"))
-    inside = stored(known.join(open_buckets, ["band", "key"]))
+    inside = known.join(open_buckets, ["band", "key"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     spread = inside.select(
@@ -174,49 +218,74 @@ def _across(members: DataFrame, labels: DataFrame, sketches: DataFrame, bits: in
         F.explode(F.when(F.col("component") == F.col("main"), F.array(own)).otherwise(
             F.sequence(F.lit(0), blocks - 1))).alias("block"),
         (F.col("component") != F.col("main")).alias("sent"))
-    rows = spread.join(sketches.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    rows = spread.join(sketches.withColumnRenamed("doc_id", "id"), "id")
+
+    def found(here: _Sketches, of_here: list[np.ndarray], sent: _Sketches,
+              of_sent: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Rows (id here, id sent, distance)."""
+        for i in range(0, len(of_here[0]), _TILE):
+            h = slice(i, i + _TILE)
+            for j in range(0, len(of_sent[0]), _TILE):
+                t = slice(j, j + _TILE)
+                close = np.bitwise_count(here.some[h][:, None, :] ^ sent.some[t][None, :, :]).sum(
+                    axis=2, dtype=np.int32) <= most_bits(percent)
+                p, q = np.nonzero(close & (of_here[1][h][:, None] != of_sent[1][t][None, :]))
+                ok, apart = near(here.take(p + i), sent.take(q + j), percent)
+                p, q, apart = p[ok] + i, q[ok] + j, apart[ok]
+                if best:
+                    order = np.lexsort((of_here[0][p], apart, q))
+                    first = order[np.unique(q[order], return_index=True)[1]]
+                    p, q, apart = p[first], q[first], apart[first]
+                yield np.stack([of_here[0][p], of_sent[0][q], apart], axis=1)
+
+    def reduced(pairs: np.ndarray) -> np.ndarray:
+        if not best:
+            return pairs
+        order = np.lexsort((pairs[:, 0], pairs[:, 2], pairs[:, 1]))
+        return pairs[order[np.unique(pairs[order, 1], return_index=True)[1]]]
+
+    def batch_of(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.unique(np.sort(np.concatenate([x[:, :2] for x in pairs]), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, sent, bits_of, comps, ids = None, [], None, None, None
+        none = np.zeros((0, 3), np.int64)
+        group, parts, sent, of_sent, held = None, [], None, None, none
         for batch in batches:
-            out: list[np.ndarray] = []
+            out = [none]
             cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in
                     ("band", "key", "block", "id", "component", "own", "sent")}
-            sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint64).reshape(
-                -1, BITS // 64)
-            change = np.flatnonzero(np.diff(cols["band"]) | (np.diff(cols["key"]) != 0)
-                                    | np.diff(cols["block"])) + 1
+            sketch = _Sketches(batch["n"].to_numpy(), batch["sketch"].to_pylist())
+            change = np.flatnonzero((np.diff(cols["band"]) != 0) | (np.diff(cols["key"]) != 0)
+                                    | (np.diff(cols["block"]) != 0)) + 1
             for a, b in zip([0, *change], [*change, batch.num_rows], strict=True):
                 at = cols["band"][a], cols["key"][a], cols["block"][a]
                 if at != group:
-                    group, sent, bits_of = at, [], None
-                few = a + int(cols["sent"][a:b].sum())
-                if few > a:
-                    sent.append((cols["id"][a:few], cols["component"][a:few], sketch[a:few]))
-                    bits_of = None
-                if bits_of is None and sent:
-                    ids, comps, bits_of = (np.concatenate(x) for x in zip(*sent, strict=True))
-                here = np.flatnonzero(cols["own"][a:b] == at[2]) + a
-                if not sent:
-                    continue
-                for i in range(0, len(here), _TILE):
-                    h = here[i:i + _TILE]
-                    for j in range(0, len(ids), _TILE):
-                        s = slice(j, j + _TILE)
-                        near = np.bitwise_count(
-                            sketch[h][:, None, :] ^ bits_of[s][None, :, :]).sum(axis=2) <= bits
-                        near &= cols["component"][h][:, None] != comps[s][None, :]
-                        p, q = np.nonzero(near)
-                        out.append(np.stack([cols["id"][h][p], ids[s][q]], axis=1))
-            pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
-                                             ["a", "b"])
+                    out.append(held)
+                    group, parts, sent, held = at, [], None, none
+                few = np.arange(a, a + int(cols["sent"][a:b].sum()))
+                if len(few):
+                    parts.append((cols["id"][few], cols["component"][few], sketch.take(few)))
+                    sent = None
+                # Sent rows come first and by id, so of two of them the later one meets the other.
+                rows = np.flatnonzero(cols["own"][a:b] == at[2]) + a
+                here = [cols["id"][rows], cols["component"][rows]]
+                if parts and sent is None:
+                    of_sent = [np.concatenate([x[k] for x in parts]) for k in (0, 1)]
+                    sent = _Sketches.joined([x[2] for x in parts])
+                if parts:
+                    for pairs in found(sketch.take(rows), here, sent, of_sent):
+                        held = reduced(np.concatenate([held, pairs]))
+            if not best:
+                out.append(held)
+                held = none
+            yield batch_of(out)
+        yield batch_of([held])
 
     small_batches(members.sparkSession)
-    return (rows.select("band", "key", "block", "id", "component", "own", "sent", "sketch")
+    return (rows.select("band", "key", "block", "id", "component", "own", "sent", "n", "sketch")
             .repartition("band", "key", "block")
-            .sortWithinPartitions("band", "key", "block", F.desc("sent"))
+            .sortWithinPartitions("band", "key", "block", F.desc("sent"), "id")
             .mapInArrow(run, "a long, b long").distinct())
 
 
@@ -229,8 +298,11 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     Equal sets are one class first, so exact copies cost one signature row. In each bucket every
     class is compared with the bucket's least one; links found make components, and only buckets
-    whose members still lie in different components are searched on, in blocks. So no link between
-    components is lost and a group of thousands of near copies costs one comparison a member.
+    whose members still lie in different components are searched on, in blocks. A few rounds try
+    the likeliest link of each member outside its bucket's largest component; once they bring
+    nothing new, all pairs of different components that the sketches allow are confirmed. So no
+    link between components is lost, and a group of thousands of near copies costs a few
+    comparisons a member.
 
     Null or empty texts and texts without words have the empty set and are linked with nothing.
     Rows that repeat a doc_id and its text get the same result each. A null doc_id takes no part:
@@ -242,25 +314,35 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     known = all_of.filter("n_shingles > 0 and doc_id is not null")
     sets = stored(known.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     reps = stored(known.join(sets, ["n_shingles", "k1", "k2"]).filter("doc_id = rep")
-                  .select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]))
+                  .select("doc_id", F.col("n_shingles").alias("n"), "bands", "sketch")
+                  .dropDuplicates(["doc_id"]))
     banded = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     buckets = stored(banded.groupBy("band", "key").agg(
         F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     members = stored(banded.join(buckets, ["band", "key"]))
-    sketches = reps.select("doc_id", "sketch")
-    bits = most_bits(percent)
+    sketches = reps.select("doc_id", "n", "sketch")
     tried = stored(_near(members.filter("id <> least").select(
-        F.col("least").alias("a"), F.col("id").alias("b")).distinct(), sketches, bits))
+        F.col("least").alias("a"), F.col("id").alias("b")).distinct(), sketches, percent))
     texts = stored(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id",
                              "left_semi").dropDuplicates(["doc_id", "text"]))
     links = stored(_confirmed(tried, texts, shingle, percent))
     labels = components(links).withColumnRenamed("id", "lid")
-    more = stored(_across(members.select("band", "key", "id"), labels, sketches, bits)
-                  .join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        added = stored(_confirmed(more, texts, shingle, percent))
-        if not added.isEmpty():
-            labels = components(links.union(added)).withColumnRenamed("id", "lid")
+    inside = members.select("band", "key", "id")
+    rounds, best = 0, True
+    while True:
+        found = stored(_across(inside, labels, sketches, percent, best))
+        if found.isEmpty():
+            break
+        more = stored(found.join(tried, ["a", "b"], "left_anti"))
+        new = stored(_confirmed(more, texts, shingle, percent))
+        fruitless = new.isEmpty()
+        if not fruitless:
+            links = links.union(new)
+            labels = components(links).withColumnRenamed("id", "lid")
+        if not best:
+            break
+        tried, rounds = tried.union(more), rounds + 1
+        best = not fruitless and rounds < ROUNDS
     of_set = sets.join(labels, sets.rep == labels.lid, "left").select(
         "n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     joined = all_of.select("doc_id", "n_shingles", "k1", "k2").join(
