@@ -64,19 +64,25 @@ def fallback_replies(texts: DataFrame, extract: Callable[[str], str]) -> DataFra
 
 
 def fallback_extract(texts: DataFrame, extract: Callable[[str], str]):
-    """-> (docs, lines, rejects(doc_id, error))."""
+    """-> (docs, lines, rejects(doc_id, error)).
+
+    Of a document in several parts, each header field is the first one that a part has, and one
+    failed part rejects the whole document, with the first error.
+    """
     # Written once: the function may be slow or costly and must not run again for each output.
     replies = written(fallback_replies(texts, extract))
-    read = replies.filter(F.col("error").isNull())
+    failed = F.when(F.col("error").isNotNull(), F.col("part"))
+    rejects = (replies.groupBy("doc_id").agg(F.min_by("error", failed).alias("error"))
+               .filter(F.col("error").isNotNull()))
+    read = replies.join(rejects.select("doc_id"), "doc_id", "left_anti")
     head = ["document_number", "document_type", "customer_raw", "tax_amount", "shipping_amount",
             "total_amount"]
-    docs = (read.groupBy("doc_id").agg(F.min_by("result", "part").alias("result"))
-            .select("doc_id", *[F.col("result." + c).alias(c) for c in head])
-            .withColumn("document_type", F.coalesce("document_type", F.lit("unknown"))))
+    docs = (read.groupBy("doc_id").agg(*[
+        F.min_by("result." + c, F.when(F.col("result." + c).isNotNull(), F.col("part"))).alias(c)
+        for c in head]).withColumn("document_type", F.coalesce("document_type", F.lit("unknown"))))
     items = (read.select("doc_id", "part", F.posexplode("result.items").alias("pos", "x"))
              .select("doc_id", "part", "pos", "x.item_number", "x.isbn", "x.raw_description",
                      "x.title", "x.author", "x.quantity", "x.unit_price", "x.total_price"))
     lines = number_rows(items, "doc_id", ["part", "pos"], [F.col("part")], "line_pos")\
         .drop("part", "pos")
-    rejects = replies.filter(F.col("error").isNotNull()).select("doc_id", "error")
     return docs, lines, rejects

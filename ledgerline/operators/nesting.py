@@ -3,19 +3,19 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline import constants as K
 from ledgerline.operators.totals import part_of
 from ledgerline.schemas import ITEM_FIELDS, RESULT
 
 
 def nest(docs: DataFrame, lines: DataFrame, reasons: DataFrame,
-         part_size: int = K.LINES_PER_PART) -> DataFrame:
-    """One record per document: (doc_id, part, fields of schemas.RESULT).
+         part_size: int | None = None) -> DataFrame:
+    """One record per document, whatever its size: (doc_id, part, fields of schemas.RESULT).
 
-    A document of up to `part_size` lines is one record with part 0. A larger one continues in
-    further records with the same header fields, each with the items and line reasons of its part,
-    so that no task ever builds an array of unbounded size and no line is left out.
+    The record is the format of the results, so it holds all lines of its document. Where documents
+    are too large for a record, `part_size` limits its lines: a larger document then continues in
+    further records with the same header fields, each with the items and line reasons of its part.
     """
+    part_size = part_size or 2**62
     item = F.struct("line_pos", *[F.col(f.name).cast(f.dataType).alias(f.name)
                                   for f in ITEM_FIELDS]).alias("item")
     grouped = lines.select("doc_id", part_of(F.col("line_pos"), part_size).alias("part"), item,

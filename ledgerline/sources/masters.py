@@ -1,5 +1,7 @@
 """Master tables: every column a string, rows in load order."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,29 @@ def find_header_row(rows: DataFrame, keyword: str, depth: int = K.HEADER_SEARCH_
             .agg(F.coalesce(F.min(hit), F.lit(0)).alias("header_row")))
 
 
+def _unique(names: list[str | None], form: Callable[[str], str]) -> list[str]:
+    """Names in a form, repeated ones numbered; blank names stay blank."""
+    out: list[str] = []
+    for name in names:
+        name = numbered = form(name or "")
+        k = 0
+        while name.strip() and numbered in out:
+            k += 1
+            numbered = f"{name}.{k}"
+        out.append(numbered)
+    return out
+
+
 def load_master(rows: DataFrame, key: str) -> DataFrame:
     """rows of one master sheet -> string columns named by its header row, plus row_pos.
 
-    Column names are stripped; rows without a key are dropped where the key column exists.
+    Column names are stripped; a repeated name gets ".1", ".2", ... Rows without a key are dropped
+    where the key column exists.
     """
     header_row = find_header_row(rows, key).first()["header_row"]
     header = rows.filter(F.col("row_idx") == header_row).first()["cells"]
-    names = [(i, c.strip()) for i, c in enumerate(header) if c is not None and c.strip()]
+    names = list(enumerate(_unique(_unique(header, str), str.strip)))
+    names = [(i, n) for i, n in names if n]
     missing = F.transform(F.col("cells"), lambda c: F.when(~F.array_contains(constant_array(K.MISSING_CELL_TEXTS), c), c))
     body = (rows.filter(F.col("row_idx") > header_row).withColumn("cells", missing)
             .filter(F.exists("cells", lambda c: c.isNotNull())))

@@ -6,21 +6,22 @@ from pyspark.sql import functions as F
 
 from ledgerline import constants as K
 from ledgerline.functions.scoring import partial_score, token_set_score, with_field_scores
-from ledgerline.operators import fields, grid, headings, positions, tables, textdoc
+from ledgerline.operators import fields, grid, headings, matching, positions, tables, textdoc
 from ledgerline.operators.fallback import fallback_extract
 from ledgerline.plans import pipeline
 from ledgerline.sources import documents, masters, sinks
 
-SAMPLE = """PURCHASE ORDER,,,
-PO Number:,PO-77,Date:,2026-01-05
-Supplier:,"Northern Press, Leeds, UK",Ship To:,"Small Book Store, Munich"
-,,,
-Item Description,Quantity,Unit Price ($),Total ($)
-Moby Dick by Herman Melville,3,4.50,13.50
-Emma by Jane Austen,2,6.25,12.50
-,,Subtotal:,26.00
-,,Shipping & Handling:,4.00
-,,Order Total:,30.00
+INVOICE = """Kestrel Tools Ltd,,,,
+,,,,
+Invoice No.,INV-204,,Due,14 days
+Sold by:,Kestrel Tools Ltd,,,
+SKU,Product,Pieces,Rate,Line Total
+KT-7,Torque wrench,4,31.00,124.00
+KT-9,Bench vice,1,88.50,88.50
+KT-2,"Chalk line, blue",10,2.15,21.50
+Subtotal,,,,234.00
+Freight,,,,9.00
+Grand Total,,,,243.00
 """
 
 
@@ -36,37 +37,50 @@ def items(lines):
         "total_price").collect()]
 
 
-def test_sample_order_end_to_end(spark, tmp_path):
-    (tmp_path / "order.csv").write_text(SAMPLE)
-    read = pipeline.extract_spreadsheets(
-        documents.read_csv_grids(spark, str(tmp_path), columns=4))
+def test_invoice_end_to_end(spark, tmp_path):
+    (tmp_path / "invoice.csv").write_text(INVOICE)
+    read = pipeline.extract_spreadsheets(documents.read_csv_grids(spark, str(tmp_path)))
     head = read.docs.first()
-    assert (head.document_number, head.customer_raw) == ("Unnamed", "Northern Press")
-    assert (head.tax_amount, head.shipping_amount, head.total_amount) == (None, 4.0, 30.0)
+    assert (head.document_number, head.customer_raw) == ("INV-204", "Kestrel Tools Ltd")
+    assert (head.tax_amount, head.shipping_amount, head.total_amount) == (None, 9.0, 243.0)
     assert items(read.lines) == [
-        (None, "Moby Dick by Herman Melville", 3.0, 4.5, 13.5),
-        (None, "Emma by Jane Austen", 2.0, 6.25, 12.5)]
-    customers = spark.createDataFrame([(0, "CM-1", "Northern Press")],
-                                      f"row_pos long, `{K.CUSTOMER_KEY}` string, `Legal name` string")
-    books = spark.createDataFrame(
-        [(0, "IM-1", "Moby Dick", "Herman Melville"), (1, "IM-2", "Emma", "Jane Austen")],
-        f"row_pos long, `{K.ITEM_KEY}` string, Title string, Author string")
+        ("KT-7", "Torque wrench", 4.0, 31.0, 124.0), ("KT-9", "Bench vice", 1.0, 88.5, 88.5),
+        ("KT-2", "Chalk line, blue", 10.0, 2.15, 21.5)]
+    sellers = spark.createDataFrame([(0, "S-1", "Kestrel Tools Ltd")],
+                                    f"row_pos long, `{K.CUSTOMER_KEY}` string, `Legal name` string")
+    tools = spark.createDataFrame(
+        [(i, f"T-{n}", f"KT-{n}", d) for i, (n, d) in enumerate(
+            [(2, "Chalk line"), (7, "Wrench"), (9, "Vice")])],
+        f"row_pos long, `{K.ITEM_KEY}` string, `Source item no.` string, Description string")
     docs, lines, rejects = pipeline.combine([read])
-    results, reasons = pipeline.process(docs, lines, customers, books)
+    results, reasons = pipeline.process(docs, lines, sellers, tools)
     sinks.write_json(results, str(tmp_path / "json"))
     sinks.write_routed(results, str(tmp_path / "routed"))
     out = json.loads(next((tmp_path / "json").glob("part*.json")).read_text())
-    assert out["customer_id"] == "CM-1" and out["tax_amount"] is None
-    assert [i["item_number"] for i in out["items"]] == ["IM-1", "IM-2"]
+    assert out["customer_id"] == "S-1" and out["tax_amount"] is None
+    assert [i["item_number"] for i in out["items"]] == ["T-7", "T-9", "T-2"]
     assert out["needs_review"] is False and out["review_reasons"] == []
     assert (tmp_path / "routed" / "needs_review=false").exists()
     assert reasons.count() == 0 and rejects.count() == 0
 
 
-def test_wide_csv_rows_are_an_error(spark, tmp_path):
-    (tmp_path / "wide.csv").write_text("a,b,c\n1,2,3\n")
-    with pytest.raises(Exception, match="more than 2 cells"):
-        documents.read_csv_grids(spark, str(tmp_path), columns=2).collect()
+def test_csv_rows_of_any_width(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,2,,9\n\n5\n")
+    (tmp_path / "b.csv").write_text(",".join(map(str, range(100))) + "\n")
+    (tmp_path / "c.csv").write_text('"a\nb","c\nd","e\nf",' + ",".join("x" * 12) + "\n")
+    found = {r.doc_id.rsplit("/", 1)[1]: [] for r in documents.read_csv_grids(
+        spark, str(tmp_path)).collect()}
+    for r in documents.read_csv_grids(spark, str(tmp_path)).orderBy("row_idx").collect():
+        found[r.doc_id.rsplit("/", 1)[1]].append(r.cells)
+    assert found["a.csv"] == [["1", "2", None, "9"], ["5", None, None, None]]
+    assert found["b.csv"] == [[str(i) for i in range(100)]]
+    assert [c for c in found["c.csv"][0] if c] == ["a\nb", "c\nd", "e\nf", *"x" * 12]
+
+
+def test_rows_wider_than_each_of_their_lines(spark, tmp_path):
+    (tmp_path / "w.csv").write_text(",".join(['"p\nq"'] * 40) + "\n")
+    [row] = documents.read_csv_grids(spark, str(tmp_path)).collect()
+    assert [c for c in row.cells if c] == ["p\nq"] * 40
 
 
 HEAD = ["SKU", "Description", "Qty", "Price", "Total"]
@@ -85,9 +99,12 @@ def test_grid_details(spark):
         # a mapped column name twice below the first row: undecided
         [["x", None, None], ["Description", "Amount", "Amount"], ["y", "1", "2"]],
         # the same in the column names gets a suffix and stays readable
-        [["Description", "Amount", "Amount"], ["y", "1", "2"]])
+        [["Description", "Amount", "Amount"], ["y", "1", "2"]],
+        # names that differ by a blank are two columns
+        [["Description", "Qty", "Price", "Amount", "Amount "], ["z", "2", "3", "", "6"]])
     assert items(grid.grid_lines(rows)) == [
-        ("a", "", 2.0, 1.5, 3.0), (None, "x", 1.0, 1.0, 1.0), (None, "y", 1.0, 0.0, 2.0)]
+        ("a", "", 2.0, 1.5, 3.0), (None, "x", 1.0, 1.0, 1.0), (None, "y", 1.0, 0.0, 2.0),
+        (None, "z", 2.0, 3.0, 6.0)]
     found = {r.doc_id: r for r in grid.header_rows(rows).collect()}
     assert found["d3"].ambiguous and not found["d4"].ambiguous
 
@@ -223,6 +240,21 @@ def test_fallback(spark):
         "b": "RuntimeError: no reply", "d": "reply does not fit the result schema", "f": "reply does not fit the result schema"}
 
 
+def test_fallback_in_parts(spark):
+    def answer(text):
+        if text == "broken":
+            raise ValueError("unreadable")
+        return json.dumps({"total_amount": 9.0} if text == "last" else {"document_number": text})
+
+    texts = spark.createDataFrame([("g", 0, "first"), ("g", 1, "last"), ("h", 0, "one"),
+                                   ("h", 1, "broken"), ("h", 2, "broken")],
+                                  "doc_id string, part int, text string")
+    docs, _, rejects = fallback_extract(texts, answer)
+    assert [(r.doc_id, r.document_number, r.total_amount) for r in docs.collect()] == [
+        ("g", "first", 9.0)]
+    assert [tuple(r) for r in rejects.collect()] == [("h", "ValueError: unreadable")]
+
+
 def test_images_need_the_fallback(spark):
     texts = spark.createDataFrame([("a", 0, "fine")], "doc_id string, part long, text string")
     docs, lines, rejects = pipeline.combine([pipeline.extract_images(texts)], answering())
@@ -246,18 +278,20 @@ def sheet(spark, rows):
 
 
 def test_master_tables(spark):
-    rows = sheet(spark, [["Report Title", None, None], ["Generated on 2026-09-23", None, None],
-                         ["Customer master ID", "Customer no.", "Legal name "],
-                         ["CM-10001", "0048326", "Test Company GmbH"], [None, "1", "gone"]])
-    assert masters.find_header_row(rows, "Customer master ID").first().header_row == 2
-    assert masters.find_header_row(rows, "Nowhere").first().header_row == 0
-    master = masters.load_customer_master(rows)
-    assert master.columns == ["row_pos", "Customer master ID", "Customer no.", "Legal name"]
-    assert [r["Customer no."] for r in master.collect()] == ["0048326"]
-    parts = masters.load_item_master(sheet(spark, [
-        ["Item master ID ", "SKU", "Description"], ["ITM-001", "SKU-123", "Widget A"],
-        [None, "SKU-999", "Invalid Row"]]))
-    assert [r.SKU for r in parts.collect()] == ["SKU-123"]
+    rows = sheet(spark, [["Depot list", None, None, None], [" Customer Master ID", "Zone", "Zone ", "Zone"],
+                         ["Q-3", "007", "b", "c"], [None, "8", "x", "y"], ["Q-4", "NULL", None, "z"]])
+    assert masters.find_header_row(rows, K.CUSTOMER_KEY).first().header_row == 1
+    assert masters.find_header_row(rows, "elsewhere").first().header_row == 0
+    master = masters.load_master(rows, K.CUSTOMER_KEY)
+    # The key column is another one, so no row is dropped; repeated headings are numbered.
+    assert master.columns == ["row_pos", "Customer Master ID", "Zone", "Zone.1", "Zone.1.1"]
+    assert [r.Zone for r in master.collect()] == ["007", "8", None]
+    stock = masters.load_item_master(sheet(spark, [
+        [f"{K.ITEM_KEY} ", "EAN", "EAN"], ["B-1", "40", "41"], [None, "50", "51"]]))
+    assert stock.columns == ["row_pos", K.ITEM_KEY, "EAN", "EAN.1"]
+    assert [tuple(r)[1:] for r in stock.collect()] == [("B-1", "40", "41")]
+    keys = {r.key for r in matching.item_keys(stock).collect()}
+    assert {"b-1", "40"} <= keys
 
 
 def test_files(spark, tmp_path):
