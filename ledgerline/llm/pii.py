@@ -28,6 +28,10 @@ KINDS = (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ip", IP), ("ssn
          ("card", CARD), ("phone", PHONE), ("person", PERSON))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 
+#: What every find contains, cheap to look for: a digit or @, a sign before a secret, an honorific.
+HINT = rf"[0-9@]|(?=[MHSDFPГ])\b(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}"
+SECRET_HINT = r"(?i)(?<=d|n|t|y)\s{0,2}[=:]"
+
 # Syllables of surrogate names by script, endings of given names by gender.
 SYLLABLES = {"latin": "al be cor dan el fa gi han is jo ka lu ma ne or pe ro sa te ul va wi".split(),
              "cyrillic": "ал бе вор га де ин ка ле ми но ор пе ра си та ул фе ви зо бу да".split(),
@@ -213,7 +217,8 @@ def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     kind, length, layout and letter case; cards that pass the Luhn check still do; names keep
     script and, by honorific, gender.
 
-    Texts without a find are not shuffled. The others are joined with their surrogates by a hash
+    The formats are only tried on texts with a sign that each of them needs. Texts without a find
+    are not shuffled. The others are joined with their surrogates by a hash
     of the text; entities are made distinct per text and before the join, so an entity that stands
     in a third of all texts is one row for each of them, split by adaptive execution. The list of
     a text's finds is gathered only for that text.
@@ -223,7 +228,8 @@ def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     empty table gives no rows.
     """
     cols = [c for c in docs.columns if c not in ("n_entities", "n_kinds")]
-    found = F.col("text").rlike(ANY)
+    hint = F.col("text").rlike(HINT) | F.col("text").rlike(SECRET_HINT)
+    found = hint & F.col("text").rlike(ANY)
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     rest = docs.select(*cols).filter(~found | F.col("text").isNull()).select(
         *cols, F.lit(0).alias("n_entities"), none.alias("n_kinds"))
