@@ -23,6 +23,8 @@ from .common import small_batches, stored
 CHUNK, BATCH_BYTES = 1 << 16, 1 << 22
 #: Compressed bytes after which a task begins another archive.
 ROLL_BYTES = 1 << 26
+#: Most tasks that read archives; with more archives each task reads several.
+READ_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 _ID = re.compile(r"<urn:x-page:(-?\d+|null)>")
 
@@ -197,7 +199,8 @@ def read(manifest: DataFrame) -> DataFrame:
     record's last chunk (`last`) has them for all of it, and `complete` tells whether the payload
     ended as announced and its digest is that of the header. A revisit is one row without data,
     with the length and digest of the payload it stands for. An empty payload is one empty chunk.
-    Each archive is read by one task, in one pass; ROLL_BYTES bounds an archive.
+    Each archive is read by one task, in one pass; ROLL_BYTES bounds an archive. The number of
+    tasks follows the number of archives, because the manifest's few bytes say nothing of the work.
     """
     names = [f.split()[0] for f in CHUNKS.split(", ")]
 
@@ -217,5 +220,5 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return (manifest.select("path").repartition("path").mapInArrow(run, CHUNKS)
-            .select(*names))
+    tasks = max(1, min(manifest.count(), READ_TASKS))
+    return manifest.select("path").repartition(tasks).mapInArrow(run, CHUNKS).select(*names)
