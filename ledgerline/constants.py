@@ -77,6 +77,5 @@ EMPTY_TEXT_REASON = "Empty document text provided"
 DOCUMENT_TYPES = ["purchase_order", "invoice", "delivery_note", "unknown"]
 
 # --- sizes of bounded groups (execution only, never part of a result) ---------
-LINES_PER_PART = 4096
 ROWS_PER_CHUNK = 100_000
 TEXT_ROWS_PER_PART = 5_000

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from ledgerline import constants as K
 from ledgerline.functions import text as T
 
-_FOUND = ["document_number", "customer_raw", "letterhead", "tax_amount", "shipping_amount",
-          "total_amount"]
+#: Fields that the first match of a pattern decides.
+_FIRST_MATCH = {"document_number": K.DOCUMENT_NUMBER, "tax_amount": K.TAX,
+                "shipping_amount": K.SHIPPING, "total_amount": K.TOTAL}
 
 
 def joined_texts(rows: DataFrame, part_rows: int = K.TEXT_ROWS_PER_PART) -> DataFrame:
@@ -62,15 +63,28 @@ def text_header_fields(texts: DataFrame, own_companies=None) -> DataFrame:
     return _as_docs(texts.select("doc_id", *_found_in(F.col("text"), True, True, own_companies)))
 
 
+def _begins_inside(pattern: str) -> Column:
+    """Whether the first match of `text` begins in its leading part `own_text`."""
+    start = F.regexp_instr("text", F.lit(K.FLAGS + pattern))
+    own_units = F.octet_length(F.encode("own_text", "UTF-16BE")) / 2
+    # The last part of a document, mostly its only one, needs no second search.
+    return F.when(F.col("text") == F.col("own_text"), True).otherwise(start.between(1, own_units))
+
+
 def header_fields(texts: DataFrame, unquote: bool = False, use_letterhead: bool = False,
                   own_companies=None) -> DataFrame:
-    """texts(doc_id, part, text) -> docs; the first part with a value decides each field.
+    """texts(doc_id, part, own_text, text) -> docs.
 
-    The letterhead is looked for at the start of the document only.
+    Of a document in several parts, the first part decides in which a match begins; a match that
+    begins in the following part is left to that part, which sees further. The first counterparty
+    of all parts is taken. The letterhead is looked for at the start of the document only.
     """
     at_start = (F.col("part") == 0) & F.lit(use_letterhead)
-    found = texts.select("doc_id", "part",
+    owner = [F.when(_begins_inside(p), F.col("part")).alias(f"{f}_part")
+             for f, p in _FIRST_MATCH.items()]
+    found = texts.select("doc_id", "part", *owner,
                          *_found_in(F.col("text"), unquote, at_start, own_companies))
-    return _as_docs(found.groupBy("doc_id").agg(*[
-        F.min_by(name, F.when(F.col(name).isNotNull(), F.col("part"))).alias(name)
-        for name in _FOUND]))
+    return _as_docs(found.groupBy("doc_id").agg(
+        *[F.min_by(name, f"{name}_part").alias(name) for name in _FIRST_MATCH],
+        *[F.min_by(name, F.when(F.col(name).isNotNull(), F.col("part"))).alias(name)
+          for name in ("customer_raw", "letterhead")]))

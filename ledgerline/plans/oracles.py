@@ -32,9 +32,9 @@ def _money(cents: str) -> str:
     return f"(({cents}) // 100 || '.' || lpad((({cents}) % 100)::VARCHAR, 2, '0'))"
 
 
-def _fold(values: str) -> str:
-    """Sum of a list of doubles from left to right."""
-    return f"list_reduce(list_prepend(0::DOUBLE, {values}), lambda a, b: a + b)"
+def _exact(values: str) -> str:
+    """Sum of a list of doubles with at most four digits after the point."""
+    return f"list_sum(list_transform({values}, lambda x: x::DECIMAL(18,4)))::DOUBLE"
 
 
 # --- ledger of orders and order lines ----------------------------------------------------
@@ -66,7 +66,7 @@ filled AS (
   FROM (SELECT *, {_round('quantity * unit_price', 2)} AS expected FROM lines)),
 summed AS (
   SELECT doc_id, count(*) AS n,
-         {_fold('list(coalesce(total_price, 0) ORDER BY line_pos)')} AS items_total
+         sum(coalesce(total_price, 0)::DECIMAL(18,2))::DOUBLE AS items_total
   FROM filled GROUP BY doc_id)"""
 
 LEDGER_DOCS = f"""
@@ -164,12 +164,12 @@ FROM filled_docs LEFT JOIN joined USING (doc_id)"""
 
 ORACLES["doc_confidence"] = f"""
 WITH {LEDGER_LINES}, sums AS (
-  SELECT doc_id, list(match_confidence ORDER BY line_pos) AS c FROM lines GROUP BY doc_id),
+  SELECT doc_id, list(match_confidence) AS c FROM lines GROUP BY doc_id),
 terms AS (
   SELECT o_orderkey::VARCHAR AS doc_id,
          list_prepend((o_orderkey % 51 + 50)::DOUBLE / 100, coalesce(c, [])) AS t
   FROM orders LEFT JOIN sums ON doc_id = o_orderkey::VARCHAR)
-SELECT doc_id, {_round(_fold('t') + ' / len(t)', 4)} AS confidence FROM terms"""
+SELECT doc_id, {_round(_exact('t') + ' / len(t)', 4)} AS confidence FROM terms"""
 
 # --- scalar functions ------------------------------------------------------------------------
 
@@ -607,10 +607,10 @@ lines AS (
          CASE WHEN score IS NULL THEN 0 ELSE {_round('score / 100', 4)} END AS match_confidence
   FROM all_lines LEFT JOIN best_part ON a = raw_description),
 {FILLED},
-terms AS (SELECT doc_id, list(match_confidence ORDER BY line_pos) AS c FROM lines GROUP BY doc_id),
+terms AS (SELECT doc_id, list(match_confidence) AS c FROM lines GROUP BY doc_id),
 docs AS (
   SELECT heads.* EXCLUDE (customer_confidence), c_custkey::VARCHAR AS customer_id,
-         {_round(_fold('list_prepend(customer_confidence, c)') + ' / (len(c) + 1)', 4)} AS confidence
+         {_round(_exact('list_prepend(customer_confidence, c)') + ' / (len(c) + 1)', 4)} AS confidence
   FROM heads JOIN terms USING (doc_id) LEFT JOIN customer ON c_name = customer_matched),
 {FILLED_DOCS}, {REASONS}, {JOINED_REASONS},
 shown AS (

@@ -164,6 +164,16 @@ def test_long_grids_are_read_in_parts(spark):
     assert whole.customer_raw == "Acme" and whole.tax_amount == 7.0
 
 
+def test_header_fields_do_not_depend_on_parts(spark):
+    cells = ["memo", "note", "left", "INVOICE NUMBER", "X-1", "\U0001d54f", "VAT due:", "?",
+             "VAT due: 4", "Total", "12.50", "Order no. 9"]
+    rows = grid_rows(spark, [[c] for c in cells])
+    expected = fields.header_fields(fields.joined_texts(rows)).first()
+    assert (expected.document_number, expected.total_amount) == ("X-1", 12.5)
+    for n in range(1, len(cells) + 1):
+        assert fields.header_fields(fields.joined_texts(rows, part_rows=n)).first() == expected
+
+
 TEXT = ("Acme\nINVOICE #: 5\nItem Qty\n| Book one | 2 | 1.00 | 2.00 |\nBook two 3 1.50 4.50\n"
         "a@b.de 1 1 1\nno numbers\n| short | 1 |\nItem qty again\nBook three 1 1 1\nSubtotal 7\n"
         "Late book 1 1 1")

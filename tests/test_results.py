@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from ledgerline import constants as K
 from ledgerline.operators import matching
 from ledgerline.operators.nesting import nest
-from ledgerline.operators.totals import document_confidence, ordered_sums
+from ledgerline.operators.totals import document_confidence, exact_sums
 from ledgerline.operators.validation import validate
 
 DOC = ("doc_id string, document_number string, document_type string, customer_raw string, "
@@ -82,16 +82,21 @@ def test_large_documents_continue_in_parts(spark):
     assert all(r.needs_review and r.total_amount == 10.0 for r in parts)
 
 
-def test_sums_follow_line_order(spark):
-    values = [0.1, 0.2, 0.3, 1e16, 1.0, -1e16, 0.7]
-    rows = spark.createDataFrame([("d", i, v) for i, v in enumerate(values)],
-                                 "doc_id string, line_pos long, v double").repartition(4)
-    total = 0.0
-    for v in values:
-        total += v
-    out = ordered_sums(rows, ["v"]).first()
-    assert (out.n, out.v) == (7, total)
-    assert ordered_sums(rows, ["v"], part_size=2).first().n == 7
+def test_sums_are_exact_in_any_order(spark):
+    values = [0.1, 0.2, 0.3, 1e16, 1.0, -1e16, 0.7, None]
+    rows = [("d", i, v) for i, v in enumerate(values)]
+    for n in (1, 4, 8):
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "doc_id string, line_pos long, v double")
+            out = exact_sums(df.repartition(n), ["v"]).first()
+            assert (out.n, out.v) == (8, 2.3)
+
+
+def test_sums_beyond_decimals_and_without_values(spark):
+    rows = spark.createDataFrame([("big", 0, 1e30), ("big", 1, 1.0), ("none", -1, None)],
+                                 "doc_id string, line_pos long, v double")
+    out = {r.doc_id: (r.n, r.v) for r in exact_sums(rows, ["v"]).collect()}
+    assert out == {"big": (2, 1e30), "none": (0, 0.0)}
 
 
 def test_document_confidence(spark):
