@@ -553,11 +553,12 @@ FROM named"""
 
 ORACLES["fallback_documents"] = f"""
 WITH words AS (
-  SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN [] ELSE list_filter(string_split_regex(text,
-           {_quoted('[' + BLANKS + ']+')}), lambda x: x <> '') END AS w FROM documents),
+  SELECT doc_id::VARCHAR AS doc_id, list_filter(string_split_regex(text,
+           {_quoted('[' + BLANKS + ']+')}), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT 'blank-' || doc_id, [] FROM documents WHERE doc_id % 50 = 0),
 kinds AS (SELECT *, len(w) AS n, CASE WHEN len(w) = 0 THEN 'blank' WHEN len(w) % 7 = 0 THEN 'failed'
             WHEN len(w) % 5 = 0 THEN 'unread' ELSE 'read' END AS kind FROM words)
-SELECT doc_id::VARCHAR AS doc_id, CASE WHEN kind = 'read' THEN 'W-' || n END AS document_number,
+SELECT doc_id, CASE WHEN kind = 'read' THEN 'W-' || n END AS document_number,
        CASE WHEN kind = 'read' THEN 'invoice' WHEN kind = 'blank' THEN 'unknown' END AS document_type,
        CASE WHEN kind = 'read' THEN w[1] WHEN kind = 'blank' THEN 'UNKNOWN' END AS customer_raw,
        CASE WHEN kind = 'read' THEN n::DOUBLE END AS total_amount,

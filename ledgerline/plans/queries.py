@@ -350,18 +350,15 @@ def _supplier_sheet(spark, folder):
     """A sheet with two title rows, padded headings, and some suppliers without key."""
     supplier = C.table(spark, folder, "supplier")
     key = F.col("s_suppkey")
-    blank = F.lit(None).cast("string")
     body = supplier.select(
         F.lit("suppliers").alias("doc_id"), (key + 3).alias("row_idx"),
         F.array(F.lpad(key.cast("string"), 7, "0"),
                 F.when(key % 4 != 0, F.concat(F.lit("CM-"), key)), "s_name").alias("cells"))
     titles = [["Supplier list", None, None], ["Generated", "2026", None],
               ["Supplier no. ", " Customer master ID ", "Legal name"]]
-    head = supplier.limit(1).select(
-        F.lit("suppliers").alias("doc_id"),
-        F.posexplode(F.array(*[F.array(*[blank if c is None else F.lit(c) for c in row])
-                               for row in titles])).alias("row_idx", "cells"))
-    return head.withColumn("row_idx", F.col("row_idx").cast("long")).unionByName(body)
+    head = spark.createDataFrame([("suppliers", i, row) for i, row in enumerate(titles)],
+                                 "doc_id string, row_idx long, cells array<string>")
+    return head.unionByName(body)
 
 
 @query
@@ -402,9 +399,12 @@ def reply_from_text(text: str) -> str:
 
 @query
 def fallback_documents(spark, folder):
-    texts = _native_texts(spark, folder).select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("part"),
-        F.when(F.col("doc_id") % 50 != 0, F.col("text")).otherwise(F.lit(" \n")).alias("text"))
+    """Every native text as it stands, and some blank documents beside them."""
+    native = _native_texts(spark, folder).select(F.col("doc_id").cast("string").alias("doc_id"),
+                                                 "text")
+    blank = C.table(spark, folder, "documents").filter(F.col("doc_id") % 50 == 0).select(
+        F.concat(F.lit("blank-"), "doc_id").alias("doc_id"), F.lit(" \n").alias("text"))
+    texts = native.unionByName(blank).withColumn("part", F.lit(0))
     docs, lines, rejects = fallback_extract(texts, reply_from_text)
     counts = lines.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("line_pos").alias("last_line"),
