@@ -23,28 +23,27 @@ def near_headings(cells: Column, cutoff: float = K.HEADER_CUTOFF) -> Column:
     the length difference never above both.
     """
     slack = (100.0 - cutoff) / 100.0
-    lengths = [(a, len(a), len(a) * (1 - slack) / (1 + slack), len(a) * (1 + slack) / (1 - slack))
-               for a in _ALIAS_TEXTS]
-    aliases = F.expr("array(" + ", ".join(
-        f"struct('{a}' as text, {n} as n, {low - 1e-9}D as low, {high + 1e-9}D as high)"
-        for a, n, low, high in lengths) + ")")
+    longest = max(map(len, _ALIAS_TEXTS))
+    # Entry n: the aliases that a text of n characters can be near to, with the largest distance.
+    by_length = [[(a, int((n + len(a)) * slack + 1e-9)) for a in _ALIAS_TEXTS
+                  if abs(n - len(a)) <= (n + len(a)) * slack + 1e-9]
+                 for n in range(int(longest * (1 + slack) / (1 - slack) + 1e-9) + 1)]
+    empty = "cast(array() as array<struct<text:string,most:int>>)"
+    nearby = F.expr("array(" + ", ".join(
+        "array(" + ", ".join(f"struct('{a}' as text, {most} as most)" for a, most in row) + ")"
+        if row else empty for row in by_length) + ")")
     alias_tokens = constant_array(_ALIAS_TOKENS)
     letters = "[" + "".join(sorted(set("".join(_ALIAS_TEXTS)) - set(" "))) + "]"
 
-    def similar(cell):
-        return F.exists(aliases, lambda alias: (cell["n"] >= alias["low"])
-                        & (cell["n"] <= alias["high"])
-                        & (F.levenshtein(cell["text"], alias["text"])
-                           <= (cell["n"] + alias["n"]) * slack + 1e-9))
-
-    def sized(words):
-        text = F.array_join(F.sort_array(words), " ")
-        return F.transform(F.array(text), lambda t: F.struct(t.alias("text"),
-                                                            F.length(t).alias("n")))
+    def similar(text):
+        # The distance is -1 as soon as it exceeds its limit.
+        return F.exists(F.coalesce(F.get(nearby, F.length(text)), F.expr(empty)),
+                        lambda alias: F.call_function("levenshtein", text, alias["text"],
+                                                      alias["most"]) >= 0)
 
     def may_match(cell):
         return F.exists(F.array(tokens(cell)), lambda words: F.arrays_overlap(words, alias_tokens)
-                        | F.exists(sized(words), similar))
+                        | F.exists(F.array(F.array_join(F.sort_array(words), " ")), similar))
 
     # Numbers share no character with an alias and leave first.
     return F.transform(F.transform(cells, fold), lambda c: F.when(
