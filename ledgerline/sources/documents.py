@@ -33,7 +33,10 @@ def route_files(files: DataFrame):
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """files(path) of a folder, not its subfolders; file contents are never read."""
+    """files(path) of a folder, not its subfolders; file contents are never read.
+
+    Spark's file index leaves out files of zero bytes, so these are not listed.
+    """
     found = spark.read.format("binaryFile").load(folder).select("path")
     inputs, _ = route_files(found)
     if inputs.isEmpty():
