@@ -571,20 +571,13 @@ FROM kinds"""
 
 # --- the whole chain ----------------------------------------------------------------------------------
 
-ORACLES["process_documents"] = f"""
+def _chain(read_lines: str, every_doc: str) -> str:
+    """Results of documents from the lines that the routes read and the header fields of all."""
+    return f"""
 WITH {BASE}, {GRID_GOOD},
-read_lines AS (
-  SELECT 'T' || o AS doc_id, line_pos, description AS raw_description, quantity::DOUBLE AS quantity,
-         price::DOUBLE / 100 AS unit_price, total::DOUBLE / 100 AS stated, NULL AS item_number FROM good
-  UNION ALL SELECT 'G' || o, line_pos, raw_description, quantity::DOUBLE, unit_price, total_price,
-                   item_number FROM grid_good),
+read_lines AS ({read_lines}),
 found AS (SELECT DISTINCT doc_id FROM read_lines),
-every_doc AS (
-  SELECT 'T' || o AS doc_id, o, {NUMBER} AS document_number, {TEXT_PARTY} AS customer_raw,
-         o % 9 <> 4 AS known, c_name, tax, shipping, total FROM orders_with_total
-  UNION ALL
-  SELECT 'G' || o, o, CASE WHEN o % 3 = 2 THEN 'Unnamed' ELSE {NUMBER} END, {GRID_PARTY},
-         o % 9 NOT IN (0, 4), c_name, tax, shipping, total FROM orders_with_total),
+every_doc AS ({every_doc}),
 heads AS (
   SELECT doc_id, CASE WHEN f THEN document_number ELSE 'F-1' END AS document_number,
          CASE WHEN f THEN 'unknown' ELSE 'invoice' END AS document_type,
@@ -623,3 +616,26 @@ SELECT doc_id, 0 AS part, document_number, document_type, customer_raw, customer
        customer_matched, tax_amount, shipping_amount, total_amount, confidence,
        n_reasons IS NOT NULL AS needs_review, n_items, items, coalesce(reasons, '') AS reasons
 FROM filled_docs JOIN shown USING (doc_id) LEFT JOIN joined USING (doc_id)"""
+
+
+_READ_TEXT = """o, line_pos, description AS raw_description, quantity::DOUBLE AS quantity,
+         price::DOUBLE / 100 AS unit_price, total::DOUBLE / 100 AS stated"""
+_TEXT_HEAD = f"""o, {NUMBER} AS document_number, {TEXT_PARTY} AS customer_raw,
+         o % 9 <> 4 AS known, c_name, tax, shipping, total FROM orders_with_total"""
+
+ORACLES["process_documents"] = _chain(f"""
+  SELECT 'T' || o AS doc_id, * EXCLUDE (o), NULL AS item_number FROM (SELECT {_READ_TEXT} FROM good)
+  UNION ALL SELECT 'G' || o, line_pos, raw_description, quantity::DOUBLE, unit_price, total_price,
+                   item_number FROM grid_good""", f"""
+  SELECT 'T' || o AS doc_id, {_TEXT_HEAD}
+  UNION ALL
+  SELECT 'G' || o, o, CASE WHEN o % 3 = 2 THEN 'Unnamed' ELSE {NUMBER} END, {GRID_PARTY},
+         o % 9 NOT IN (0, 4), c_name, tax, shipping, total FROM orders_with_total""")
+
+# Only tables of odd orders hold item numbers; of images nothing is read without the fallback.
+ORACLES["process_scans"] = _chain(f"""
+  SELECT 'P' || o AS doc_id, * EXCLUDE (o, sku),
+         CASE WHEN o % 2 = 1 AND o % 3 <> 2 THEN sku END AS item_number
+  FROM (SELECT {_READ_TEXT}, sku FROM good)""", f"""
+  SELECT 'P' || o AS doc_id, {_TEXT_HEAD}
+  UNION ALL SELECT 'I' || o, {_TEXT_HEAD}""")

@@ -257,14 +257,21 @@ def pdf_table_items(spark, folder):
     return tables.table_lines(C.table_documents(spark, folder)).select(*_LINE, "item_number")
 
 
+def _half_empty_tables(spark, folder):
+    """The rendered tables, those of even orders with blank cells below their headings."""
+    even = F.regexp_extract("doc_id", r"(\d+)", 1).cast("bigint") % 2 == 0
+    blank = F.transform("cells", lambda c: F.lit(""))
+    return C.table_documents(spark, folder).withColumn(
+        "cells", F.when(even & (F.col("row_idx") > 0), blank).otherwise(F.col("cells")))
+
+
 @query
 def table_or_text_items(spark, folder):
-    """Tables of the odd orders only, texts of all orders: text lines serve where tables lack."""
-    rows = C.table_documents(spark, folder)
+    """Tables and texts of all orders: text lines serve where the tables hold no line."""
     key = F.regexp_extract("doc_id", r"(\d+)", 1)
-    odd = rows.filter(key.cast("bigint") % 2 == 1).withColumn("doc_id", key)
+    rows = _half_empty_tables(spark, folder).withColumn("doc_id", key)
     texts = C.text_documents(spark, folder).withColumn("doc_id", key)
-    return textdoc.with_text_fallback(tables.table_lines(odd), textdoc.text_items(texts))\
+    return textdoc.with_text_fallback(tables.table_lines(rows), textdoc.text_items(texts))\
         .select(_LINE)
 
 
@@ -423,10 +430,7 @@ def reply_for_open(text: str) -> str:
                            {"raw_description": "red rod", "quantity": 2.0, "unit_price": 1.5}]})
 
 
-@query
-def process_documents(spark, folder):
-    routes = [pipeline.extract_whole_texts(C.text_documents(spark, folder)),
-              pipeline.extract_spreadsheets(C.grid_documents(spark, folder))]
+def _processed(spark, folder, routes):
     docs, lines, _ = pipeline.combine(routes, reply_for_open)
     results, _ = pipeline.process(docs, lines, C.customer_master(spark, folder),
                                   C.part_master(spark, folder))
@@ -442,3 +446,23 @@ def process_documents(spark, folder):
             F.round(x["match_confidence"] * 10000).cast("bigint").cast("string"))), ";")
         .alias("items"),
         F.array_join("review_reasons", " | ").alias("reasons"))
+
+
+@query
+def process_documents(spark, folder):
+    """Texts and grids."""
+    return _processed(spark, folder, [
+        pipeline.extract_whole_texts(C.text_documents(spark, folder)),
+        pipeline.extract_spreadsheets(C.grid_documents(spark, folder))])
+
+
+@query
+def process_scans(spark, folder):
+    """Paged documents with tables, and images, of which only a recognised text is known."""
+    def renamed(texts, letter):
+        return texts.withColumn("doc_id", F.concat(F.lit(letter), F.substring("doc_id", 2, 20)))
+    images = renamed(C.text_documents(spark, folder), "I").withColumn("part", F.lit(0).cast("long"))
+    return _processed(spark, folder, [
+        pipeline.extract_pdfs(renamed(_pages(spark, folder), "P"),
+                              _half_empty_tables(spark, folder)),
+        pipeline.extract_images(images)])
