@@ -533,6 +533,11 @@ FROM raw_names JOIN best ON a = cleaned"""
 
 # --- sources, fallback -----------------------------------------------------------------------------
 
+ORACLES["item_master_load"] = """
+SELECT p_partkey + 2 AS row_pos, 'SRC-' || p_partkey AS source_no, 'IM-' || p_partkey AS item_id,
+       p_name AS name, p_type AS kind
+FROM part WHERE p_partkey % 4 <> 0"""
+
 ORACLES["master_load"] = """
 SELECT s_suppkey + 3 AS row_pos, lpad(s_suppkey::VARCHAR, 7, '0') AS supplier_no,
        'CM-' || s_suppkey AS master_id, s_name AS legal_name

@@ -376,6 +376,23 @@ def master_load(spark, folder):
                                       "Legal name": "legal_name"})
 
 
+@query
+def item_master_load(spark, folder):
+    """A sheet of parts with a title row, a repeated heading, and some parts without key."""
+    key = F.col("p_partkey")
+    body = C.table(spark, folder, "part").select(
+        F.lit("parts").alias("doc_id"), (key + 2).alias("row_idx"),
+        F.array(F.concat(F.lit("SRC-"), key), F.when(key % 4 != 0, F.concat(F.lit("IM-"), key)),
+                "p_name", "p_type").alias("cells"))
+    titles = [["Part list", None, None, None],
+              ["Source item no.", " Item master ID", "Description", "Description "]]
+    head = spark.createDataFrame([("parts", i, row) for i, row in enumerate(titles)],
+                                 "doc_id string, row_idx long, cells array<string>")
+    master = masters.load_item_master(head.unionByName(body))
+    return master.withColumnsRenamed({"Source item no.": "source_no", "Item master ID": "item_id",
+                                      "Description": "name", "Description.1": "kind"})
+
+
 @query
 def header_row_finder(spark, folder):
     return masters.find_header_row(C.grid_documents(spark, folder), "QUANTITY")
