@@ -83,10 +83,11 @@ def combine(routes: list[Extracted], fallback=None):
 def process(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: DataFrame):
     """Extracted docs and lines -> (nested results, reasons).
 
-    Matching and validation read both several times, so they are written to the shared checkpoint
-    folder before and after matching (lines by `resolve`).
+    Matching and validation read the documents several times, so these are written to the shared
+    checkpoint folder before and after. Lines are read twice until `resolve` writes them with their
+    match; those of `combine` come from written tables, so they are not written again before.
     """
-    docs, lines = resolve(written(docs), written(lines), customers, items)
+    docs, lines = resolve(written(docs), lines, customers, items)
     docs, lines, reasons = validate(written(docs), lines)
     docs, reasons = written(docs), written(reasons)
     return nest(docs, lines, reasons), reasons
