@@ -43,7 +43,7 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, folder, "documents"),
-                               _table(spark, folder, "benchmark"))
+                               _table(spark, folder, "benchmark"), short_inside=True)
 
 
 def op8_langid(spark: SparkSession, folder: str) -> DataFrame:

@@ -242,6 +242,22 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert decontaminate.clean(frame(spark), table).count() == len(ODD)
 
 
+def test_decontamination_of_short_items_and_other_scripts(spark):
+    items = [(1, "日本語の文章です。"), (2, "ไทย กข"), (3, "École Nº 5"), (4, "word"), (5, "one two three"),
+             (6, "\u201csix seven eight nine ten\u201d"), (7, "ΟΔΟΣ ΜΟΥ"), (8, "日本"), (9, "...")]
+    docs = [(1, "これは日本語の文章ですから、長い。"), (2, "กไทยกขค"), (3, "l'école\u00a0nº 5!"), (4, "words"),
+            (5, "zero ONE, two\u3000three four five six"), (6, "five six seven eight nine ten eleven"),
+            (7, "η οδος μου"), (8, "one two"), (9, "one two, four three"), (10, "a word b")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, [(*d, "en", "a", "s") for d in docs])
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(
+        docs, table, short_inside=True).collect()) == [
+        (1, 1), (1, 8), (2, 2), (3, 3), (5, 5), (6, 6), (7, 7), (10, 4)]
+    assert sorted(r.doc_id for r in decontaminate.clean(
+        docs, table, short_inside=True).collect()) == [4, 8, 9]
+    assert (5, 5) not in {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, table).collect()}
+
+
 def test_language(spark):
     rng = random.Random(5)
     kinds = {"en": "the of and thing er on", "es": "ñ ción la os el mente"}
