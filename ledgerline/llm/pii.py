@@ -45,7 +45,8 @@ ENDINGS = {("latin", "m"): ["us", "ert", "on", "ik"], ("latin", "f"): ["a", "ine
 
 HEX = "0123456789abcdef"
 LOWERS = "abcdefghijklmnopqrstuvwxyz"
-MOST_ROUNDS = 40
+#: Attempts of a fixed format; each further one adds a character, as the format is nearly used up.
+FIXED_ATTEMPTS = 8
 
 
 def _stream(seed: Column, i: Column) -> Column:
@@ -121,18 +122,24 @@ def _name(kind: Column, original: Column, seed: Column, attempt: Column) -> Colu
 def _surrogate(kind: Column, canonical: Column, attempt: Column, seed: Column) -> Column:
     no, yes = F.lit(False), canonical.rlike("^[0-9a-f]+$")
     local, domain = F.split_part(canonical, F.lit("@"), F.lit(1)), F.lit("example.org")
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (
+    wider = F.greatest(attempt - (FIXED_ATTEMPTS - 1), F.lit(0))
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), 3 + wider), lambda i: (
         _stream(seed, i) % 254 + 1).cast("string")), ".")
-    n = F.length(canonical)
-    body = _redrawn(F.substring(canonical, F.lit(1), n - 1), seed, no)
+    # Hosts are invented, so their numbers grow from the second attempt on.
+    host = F.concat((_stream(seed, F.lit(63)) % 100).cast("string"), F.array_join(F.transform(
+        F.slice(F.sequence(F.lit(40), F.lit(62)), F.lit(1), F.least(attempt, F.lit(23))),
+        lambda i: (_stream(seed, i) % 10).cast("string")), ""))
+    digits = F.concat(canonical, F.repeat(F.lit("0"), wider))
+    letters = F.concat(canonical, F.repeat(F.lit("a"), wider))
+    n = F.length(digits)
+    body = _redrawn(F.substring(digits, F.lit(1), n - 1), seed, no)
     card = F.when(_luhn(canonical), F.concat(body, _check_digit(body))).otherwise(
-        _redrawn(canonical, seed, no))
-    return (F.when(kind == "email", F.concat(_redrawn(local, seed, no), F.lit("@mail"),
-                                             (_stream(seed, F.lit(63)) % 100).cast("string"),
+        _redrawn(digits, seed, no))
+    return (F.when(kind == "email", F.concat(_redrawn(local, seed, no), F.lit("@mail"), host,
                                              F.lit("."), domain))
             .when(kind == "ip", octets).when(kind == "card", card)
-            .when(kind == "secret", _redrawn(canonical, seed, yes))
-            .when(kind.isin("iban", "ssn", "phone"), _redrawn(canonical, seed, no))
+            .when(kind == "secret", _redrawn(letters, seed, yes))
+            .when(kind.isin("iban", "ssn", "phone"), _redrawn(digits, seed, no))
             .otherwise(_name(kind, canonical, seed, attempt)))
 
 
@@ -167,14 +174,15 @@ def _words_of(surface: Column) -> Column:
 
 
 def _reformatted(surface: Column, canonical: Column, surrogate: Column) -> Column:
-    """The surrogate's letters and digits in the layout of the surface."""
+    """The surrogate's letters and digits in the layout of the surface, those of a wider one
+    behind it."""
     return F.aggregate(
         F.split(surface, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("next")),
         lambda s, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(
             F.concat(s["out"], F.substring(surrogate, s["next"], F.lit(1))).alias("out"),
             (s["next"] + 1).alias("next"))).otherwise(F.struct(
                 F.concat(s["out"], c).alias("out"), s["next"].alias("next"))),
-        lambda s: s["out"])
+        lambda s: F.concat(s["out"], F.substring(surrogate, s["next"], F.length(surrogate))))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -184,10 +192,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     surrogates are a collision, and so is a surrogate that is itself an entity of the data. The
     entity of the fewest attempts, the least one on ties, keeps the surrogate; the others try
     again, until none collides. Letter case does not count.
+
+    The space grows with the attempts, so there are always surrogates left: names get syllables and
+    hosts of e-mail addresses digits from the second attempt on; the other kinds keep their length
+    for FIXED_ATTEMPTS attempts, then each adds a digit, a letter to secrets or an octet to IP
+    addresses.
     """
     state = stored(entities.select("kind", "canonical").distinct().withColumn(
         "attempt", F.lit(0)))
-    for _ in range(MOST_ROUNDS):
+    while True:
         seeded = stored(state.withColumn("seed", _seed(
             key, F.col("kind"), F.col("canonical"), F.col("attempt").cast("string"))))
         drawn = stored(seeded.withColumn("surrogate", _surrogate(
@@ -204,7 +217,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             return drawn.select("kind", "canonical", "surrogate")
         state = stored(judged.select("kind", "canonical", (
             F.col("attempt") + F.col("lost").cast("int")).alias("attempt")))
-    raise ValueError("surrogates still collide; the formats leave too few values")
 
 
 def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
@@ -214,7 +226,7 @@ def replace(docs: DataFrame, key: str = "surrogates-1") -> DataFrame:
     Found are e-mail and IP addresses, IBANs, card, social security and phone numbers, secrets
     after words like `password=`, and names after an honorific. Each entity has the same surrogate
     in the whole table (coreference), and different ones different surrogates. Surrogates keep
-    kind, length, layout and letter case; cards that pass the Luhn check still do; names keep
+    kind, length (unless the values of a format run out, see `surrogates`), layout and letter case; cards that pass the Luhn check still do; names keep
     script and, by honorific, gender.
 
     The formats are only tried on texts with a sign that each of them needs. Texts without a find

@@ -376,6 +376,23 @@ def test_surrogates_never_collide(spark):
     assert len({r.surrogate.lower() for r in found}) == len(found) == 4000
 
 
+def test_surrogates_of_formats_with_too_few_values(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = ([("email", f"{letters[i % 26]}@host{i}.com") for i in range(5000)]
+            + [("phone", f"{i:03d}") for i in range(1000)] + [("secret", "--------"), ("secret", "-_-_-_-_")]
+            + [("ip", f"10.0.{i}.1") for i in range(20)])
+    found = pii.surrogates(spark.createDataFrame(rows, "kind string, canonical string"), "k").collect()
+    assert sorted((r.kind, r.canonical) for r in found) == sorted(rows)
+    assert len({(r.kind, r.surrogate) for r in found}) == len(rows)
+    assert not {(r.kind, r.surrogate) for r in found} & set(rows)
+    for r in found:
+        form = {"email": r"[a-z]@mail\d+\.example\.org", "phone": r"\d{4,}", "secret": r"[-_]{8}[a-z]+",
+                "ip": r"\d+(\.\d+){3}"}[r.kind]
+        assert re.fullmatch(form, r.surrogate), r
+    assert spark.range(1).select(pii._reformatted(
+        F.lit("(41) 5"), F.lit("415"), F.lit("98765"))).first()[0] == "(98) 765"
+
+
 def test_licences(spark):
     plain = corpus(150)
     lines = {9001: ("some words\nLicensed under the Apache License, Version 2.0.\nmore", "apache", 1),
