@@ -12,10 +12,14 @@ from .common import literals, stored
 
 UNKNOWN = "unknown"
 FEATURES = 1 << 13
-#: Paragraphs of the documents that teach what is no licence, and as many that set the threshold:
-#: the bound of the sample on which the model is fitted.
+#: Distinct paragraphs of the documents that teach what is no licence: the bound of the sample on
+#: which the model is fitted.
 SAMPLE = 4000
-LEAST_PROBABILITY = 0.5
+#: A family is told from this probability on, or from the one that a share of 1 / RARE of all
+#: paragraphs without a cue reaches, in steps of 1 / STEPS.
+LEAST_PROBABILITY, RARE, STEPS = 0.5, 1000, 100_000
+#: What the paragraphs that teach or calibrate do not hold.
+CUE = r"(?i)licen[cs]|copyright|permission|warrant|redistribut|creative commons|public domain"
 #: Shares of a paragraph's, or of a template's, three-word sequences that confirm a family.
 OF_PARAGRAPH, OF_TEMPLATE = 0.3, 0.5
 
@@ -159,36 +163,63 @@ class Scanner:
             literals(FAMILIES, "string"), F.col("prediction").cast("int") + 1)).withColumn(
             "share", share).drop("features", "rawPrediction", "probability", "prediction")
 
+    def likely(self, docs: DataFrame) -> DataFrame:
+        """The scored paragraphs of docs whose family reaches the threshold."""
+        return self.scores(paragraphs(docs)).filter(
+            (F.col("family") != UNKNOWN) & (F.col("share") >= self.threshold))
 
-def train(docs: DataFrame) -> Scanner:
-    """Fit on templates, cuts of templates and a bounded sample of paragraphs of docs.
 
-    Paragraphs with a cue of a licence are left out of the sample, which takes the least hashes, so
-    it is the same for any partitioning. Half of it is held out to calibrate: a family is told only
-    above the probability that one held-out paragraph in a thousand reaches.
+def _fit(docs: DataFrame) -> tuple[Scanner, int]:
+    """A model fitted on templates, cuts of templates and a bounded sample of paragraphs of docs,
+    not calibrated yet, and the number of paragraphs without a cue of a licence.
+
+    The sample is of distinct paragraphs without a cue and takes the least even hashes, so it is the
+    same for any partitioning and any number of copies.
     """
     spark = docs.sparkSession
     given = templates(spark)
     cut = given.withColumn("w", F.split("paragraph", " ")).filter(F.size("w") > 16).select(
         "family", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 12, F.lit(4)), lambda i: (
             F.array_join(F.slice("w", i, F.lit(12)), " ")))).alias("paragraph"))
-    cue = r"(?i)licen[cs]|copyright|permission|warrant|redistribut|creative commons|public domain"
-    sample = paragraphs(docs).filter(~F.col("paragraph").rlike(cue)).select(
-        "paragraph").withColumn("h", F.xxhash64("paragraph")).orderBy("h").limit(2 * SAMPLE)
-    sample = stored(sample.withColumn("held", F.pmod("h", F.lit(2)) == 1))
+    hashed = paragraphs(docs).select("paragraph", F.xxhash64("paragraph").alias("h"))
+    plain = ~F.col("paragraph").rlike(CUE)
+    n, different = hashed.filter(plain).agg(F.count("*"), F.approx_count_distinct("h")).first()
+    # Twice the hashes that are needed of those below the bound, so an estimate is good enough.
+    share = min(1.0, 4 * SAMPLE / max(1, different))
+    bound = min(2**63 - 1, int(-2**63 + share * 2**64))
+    sample = hashed.filter((F.col("h") <= bound) & (F.pmod("h", F.lit(2)) == 0)).filter(
+        plain).distinct().orderBy("h", "paragraph").limit(SAMPLE)
     others = _table(spark, [(UNKNOWN, t) for t in OTHERS])
-    rows = given.union(cut).union(others).union(sample.filter("not held").select(
-        F.lit(UNKNOWN), "paragraph"))
+    rows = given.union(cut).union(others).union(sample.select(F.lit(UNKNOWN), "paragraph"))
     number = F.array_position(literals(FAMILIES, "string"), F.col("family")) - 1
     # A bounded sample: few tasks make the rounds of the fit short.
     fitted = stored(rows.withColumn("label", number.cast("double")).coalesce(2))
     model = LogisticRegression(maxIter=30, regParam=1e-4, family="multinomial").fit(
         _features(fitted).select("features", "label"))
-    scanner = Scanner(model, LEAST_PROBABILITY)
-    told = scanner.scores(sample.filter("held").select("paragraph")).select(
-        F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("share")).alias("s"))
-    high = told.agg(F.percentile("s", F.lit(0.999))).first()[0]
-    scanner.threshold = max(LEAST_PROBABILITY, high or 0.0)
+    return Scanner(model, LEAST_PROBABILITY), n
+
+
+def _threshold(likely: DataFrame, n: int) -> float:
+    """The probability that one in RARE of the n paragraphs without a cue reaches, rounded down to
+    a step, and LEAST_PROBABILITY at least; likely holds those that reach this least one.
+
+    The histogram has STEPS rows at most, whatever the input."""
+    histogram = likely.filter(~F.col("paragraph").rlike(CUE)).groupBy(
+        F.floor(F.col("share") * STEPS).alias("step")).count()
+    above = 0
+    for step, count in sorted(map(tuple, histogram.collect()), reverse=True):
+        above += count
+        if above * RARE >= n:
+            return max(LEAST_PROBABILITY, step / STEPS)
+    return LEAST_PROBABILITY
+
+
+def train(docs: DataFrame) -> Scanner:
+    """A scanner fitted on a bounded sample and calibrated on all of docs: a family is told only
+    from the probability on that one in a thousand of all paragraphs without a cue reaches, copies
+    counted."""
+    scanner, n = _fit(docs)
+    scanner.threshold = _threshold(scanner.likely(docs), n)
     return scanner
 
 
@@ -198,7 +229,7 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
 
     A paragraph is a line; families are those of NAMES. The likeliest family counts if its
     probability reaches the calibrated threshold, else the paragraph is of the unknown class and
-    has no row. confirmed tells whether enough three-word sequences of the paragraph are in the
+    has no row (see `train`). confirmed tells whether enough three-word sequences of the paragraph are in the
     family's templates, or of one template in the paragraph; in a paragraph of fewer than three
     words nothing is. Rows are scored where they are read; only the table of templates, a few KB of
     fixed size, is sent to the tasks.
@@ -206,9 +237,13 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     Null, empty and blank texts have no paragraphs and so no rows. Repeated rows get theirs each; a
     null doc_id is allowed; other columns are not read. Without documents there are no rows.
     """
-    scanner = scanner or train(docs)
-    scored = scanner.scores(paragraphs(docs)).filter(
-        (F.col("family") != UNKNOWN) & (F.col("share") >= scanner.threshold))
+    if scanner:
+        scored = scanner.likely(docs)
+    else:
+        # As after `train`, with all paragraphs scored only once.
+        scanner, n = _fit(docs)
+        likely = stored(scanner.likely(docs))
+        scored = likely.filter(F.col("share") >= _threshold(likely, n))
     known = templates(docs.sparkSession).select("family", _sequences(
         _words(F.col("paragraph")), 3).alias("t")).groupBy("family").agg(
         F.collect_list("t").alias("texts"))

@@ -406,6 +406,30 @@ def test_licences(spark):
     assert all(0 < r.probability <= 1 for r in found)
 
 
+def test_licence_threshold_is_of_all_paragraphs(spark, monkeypatch):
+    rng = random.Random(4)
+    words = "released under the terms of GNU GPL v3 version general public software red house".split()
+    texts = [" ".join([*["Released under the GNU GPL v3."] * (i % 3 == 1),
+                       *[rng.choice(words) for _ in range(8)]]) for i in range(300)]
+    rows = [(i, t, None, None, "s") for i, t in enumerate(texts)]
+    copies = [(1000 + i, texts[0], None, None, "s") for i in range(200)]
+    monkeypatch.setattr(licenses, "SAMPLE", 20)
+    monkeypatch.setattr(licenses, "RARE", 10)
+    monkeypatch.setattr(licenses, "LEAST_PROBABILITY", 0.0)
+    for docs in (frame(spark, rows), frame(spark, rows + copies).repartition(3)):
+        scanner = licenses.train(docs)
+        shares = sorted(r.share if r.family != "unknown" else 0.0 for r in scanner.scores(
+            licenses.paragraphs(docs)).select("family", "share").collect())
+        exact = shares[-len(shares) // 10]
+        assert exact > 0 and exact - 1e-5 <= scanner.threshold <= exact
+        found = {(r.doc_id, r.family) for r in licenses.scan(docs).collect()}
+        assert found == {(r.doc_id, r.family) for r in licenses.scan(docs, scanner).collect()}
+        assert len(found) >= len(shares) // 10
+    one, other = (licenses._fit(d)[0].model.coefficientMatrix.toArray()
+                  for d in (frame(spark, rows), frame(spark, rows + copies)))
+    assert abs(one - other).max() < 1e-6
+
+
 FOLDER = "/root/testdata/sf0.001"
 
 
