@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 from ledgerline.operators.fallback import fallback_extract
 from ledgerline.operators.fields import (
-    header_fields, joined_texts, page_texts, text_header_fields)
+    header_fields, joined_texts, page_texts, text_header_fields, whole_texts)
 from ledgerline.operators.grid import clean_rows, grid_lines
 from ledgerline.operators.lineage import written
 from ledgerline.operators.matching import resolve
@@ -33,7 +33,7 @@ def extract_spreadsheets(rows: DataFrame, own_companies=None) -> Extracted:
     rows = clean_rows(rows)
     texts = joined_texts(rows)
     return Extracted(header_fields(texts, own_companies=own_companies), grid_lines(rows),
-                     texts.selectExpr("doc_id", "part", "own_text as text"))
+                     whole_texts(texts))
 
 
 def extract_pdfs(pages: DataFrame, tables: DataFrame | None = None,
@@ -44,7 +44,7 @@ def extract_pdfs(pages: DataFrame, tables: DataFrame | None = None,
         lines = with_text_fallback(table_lines(tables), lines)
     texts = page_texts(pages)
     docs = header_fields(texts, unquote=True, use_letterhead=True, own_companies=own_companies)
-    return Extracted(docs, lines, texts.selectExpr("doc_id", "part", "own_text as text"))
+    return Extracted(docs, lines, whole_texts(texts))
 
 
 def extract_whole_texts(texts: DataFrame, own_companies=None) -> Extracted:

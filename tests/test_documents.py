@@ -174,6 +174,26 @@ def test_header_fields_do_not_depend_on_parts(spark):
         assert fields.header_fields(fields.joined_texts(rows, part_rows=n)).first() == expected
 
 
+def test_labels_meet_values_over_any_distance(spark):
+    cells = ["Head", "", "Ltd", "From", "", "", "", "Small Book Store vendor", "Late; x", "Shipping",
+             "by", "land", "(", "air", ")", "9.50", "PURCHASE", "", "", "", "ORDER", "", "#", "", "No.",
+             "", "P-7", "Tax", "", "", ":", "", "", "4", "Bill", "", "", "", "to", "", "Acme, Inc", "x-y"]
+    rows = spark.createDataFrame([("d", i, [c]) for i, c in enumerate(cells)],
+                                 "doc_id string, row_idx long, cells array<string>")
+    whole = spark.createDataFrame([("d", "\n".join(cells))], "doc_id string, text string")
+    expected = fields.text_header_fields(whole).first()
+    assert (expected.document_number, expected.customer_raw) == ("P-7", "Acme")
+    assert (expected.tax_amount, expected.shipping_amount) == (4.0, 9.5)
+    for n in [1, 2, 3, 4, 5, 7, 11, 20, len(cells)]:
+        texts = fields.joined_texts(rows, part_rows=n)
+        assert fields.header_fields(texts, True, True).first() == expected, n
+        assert fields.whole_texts(texts).first().text == "\n".join(cells)
+    bare = spark.createDataFrame([("d", i, [c]) for i, c in enumerate(["invoice", "po", "", "order", "Ab", "Name"])],
+                                 "doc_id string, row_idx long, cells array<string>")
+    assert {fields.header_fields(fields.joined_texts(bare, part_rows=n), True, True).first().customer_raw
+            for n in range(1, 7)} == {"Name"}
+
+
 TEXT = ("Acme\nINVOICE #: 5\nItem Qty\n| Book one | 2 | 1.00 | 2.00 |\nBook two 3 1.50 4.50\n"
         "a@b.de 1 1 1\nno numbers\n| short | 1 |\nItem qty again\nBook three 1 1 1\nSubtotal 7\n"
         "Late book 1 1 1")
