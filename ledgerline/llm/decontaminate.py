@@ -1,9 +1,9 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, exact confirmation.
+"""Benchmark decontamination: MinHash containment search of the items, exact confirmation.
 
 Similarity of sets is of no use where a short item lies inside a long text, so samples are taken
 from the item alone: if a share c of the item's shingles lies in a text, each of the item's MinHash
-shingles lies there with probability c. Items are partitioned by set size. Small sets are searched
-whole; larger ones by a number of samples that leaves a chance below 1e-9 of missing an item at the
+shingles lies there with probability c. There are two paths by set size: small sets are searched
+whole, larger ones by a number of samples that leaves a chance below 1e-9 of missing an item at the
 threshold. Hits are looked up in one pass over the texts, and a text with enough hits of an item is
 compared with the item's whole set in place.
 """
@@ -24,7 +24,7 @@ from .common import _PLACE, _base_powers, mixed, small_batches, steps, text_byte
 SHINGLE, PERCENT = 5, 80
 #: Sets up to this size are searched whole.
 SMALL = 32
-#: Samples of the sets of a larger size class; a class spans a factor of four.
+#: Samples of each larger set.
 SAMPLES = 48
 #: Shingles of the items that one pass over the texts holds in each task: 16 bytes each.
 BLOCK_SHINGLES = 1 << 21
@@ -140,7 +140,7 @@ class _Index:
     def __init__(self, ids: list, sets: list[np.ndarray], sizes: list[int]):
         self.ids, self.sets = ids, sets
         self.lengths = sorted(set(sizes) - {SHINGLE})
-        hashes, owners, self.need, self.size_class = [], [], [], []
+        hashes, owners, self.need = [], [], []
         for i, s in enumerate(sets):
             if len(s) <= SMALL:
                 probe, need = s, max(1, math.ceil(PERCENT * len(s) / 100))
@@ -148,7 +148,6 @@ class _Index:
                 least = np.argmin(mixed(s[:, None] * _FACTOR + _SHIFT), axis=0)
                 probe, need = s[least], _least_hits(SAMPLES)
             self.need.append(need)
-            self.size_class.append(int(math.log(max(1, len(s) / SMALL), 4)) + (len(s) > SMALL))
             hashes.append(probe)
             owners.append(np.full(len(probe), i))
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
