@@ -1,6 +1,7 @@
 """Cutting lineage for results that several later steps read."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder; later readers survive lost executors."""
+    """Compute once into the shared checkpoint folder; later readers survive lost executors.
+
+    A table is written in one run of the plan; a checkpoint of its rows would run the last stage
+    twice, and its readers could not leave out columns.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

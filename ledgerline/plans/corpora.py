@@ -159,9 +159,8 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 
 def numbered_lineitems(spark: SparkSession, folder: str) -> DataFrame:
-    chunk = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 100_000)]
     return number_copies(table(spark, folder, "lineitem").select("l_orderkey", *LINE_ORDER),
-                         "l_orderkey", LINE_ORDER, chunk, "line_pos")
+                         "l_orderkey", LINE_ORDER, "line_pos")
 
 
 def ledger_lines(spark: SparkSession, folder: str) -> DataFrame:

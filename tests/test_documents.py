@@ -230,7 +230,7 @@ def test_positions(spark):
     rng = random.Random(9)
     rows = [(rng.choice("aab"), rng.randint(0, 300), rng.randint(0, 2)) for _ in range(1000)]
     frame = spark.createDataFrame(rows, "k string, v int, w int")
-    out = positions.number_copies(frame, "k", ["v", "w"], [F.floor(F.col("v") / 50)], "p").collect()
+    out = positions.number_copies(frame, "k", ["v", "w"], "p").collect()
     for key in "ab":
         mine = sorted((r.p, r.v, r.w) for r in out if r.k == key)
         assert [m[0] for m in mine] == list(range(len(mine)))
@@ -242,6 +242,36 @@ def test_positions(spark):
     assert [m[0] for m in mine] == list(range(len(mine)))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_ranks_of_a_key_over_many_parts(spark, parts):
+    """One key with most rows, null keys and null order, in any number of range parts."""
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(50)]), i)
+            for i in range(500)]
+    frame = spark.createDataFrame(rows, "k string, v int, w int").repartition(5)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions",
+                                             "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        out = positions.rank_rows(frame, "k", ["v", "w"], "p").collect()
+        summed = positions.rank_rows(frame, "k", ["v", "w"], "p", "w").collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    for key in ("a", "b", None):
+        order = sorted(((v, w) for k, v, w in rows if k == key),
+                       key=lambda r: (r[0] is not None, r))
+        assert [(r.v, r.w) for r in sorted((r for r in out if r.k == key), key=lambda r: r.p)] \
+            == order
+        assert sorted(r.p for r in out if r.k == key) == list(range(len(order)))
+        sums = {r.w: r.p for r in summed if r.k == key}
+        assert [sums[w] for _, w in order] == [sum(w for _, w in order[:i])
+                                               for i in range(len(order))]
+    empty = positions.rank_rows(frame.limit(0), "k", ["v", "w"], "p")
+    assert empty.columns == ["k", "v", "w", "p"] and empty.count() == 0
+
+
 def answering():
     """Local, so that it travels to the workers by value."""
     def answer(text):
