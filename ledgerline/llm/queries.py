@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, fingerprints, langid, licenses, mixture, neardup, pii, sharding,
-               tokens, warc)
-from .common import shared_folder
+from . import (align, bpe, decontaminate, fingerprints, langid, licenses, mixture, neardup, pii,
+               sharding, tokens, trie, warc)
+from .common import shared_folder, stored
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,8 +63,38 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    encoded = bpe.encode(_table(spark, folder, "documents"), path).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"))
+    kept = ("doc_id", "n_tokens", "ids_sha256")
+    return bpe.decode(encoded, path, kept).select(*kept, F.sha2("text", 256).alias(
+        "decoded_sha256"))
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    aligned = align.align(_table(spark, folder, "documents"),
+                          public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    kept = stored(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return align.with_counts(kept).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best",
+                                          "count_sum", "groups_sha256")
+
+
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = stored(trie.numbered_turns(_table(spark, folder, "conversations")))
+    return trie.trie(trie.rebuilt(turns)).drop("k1", "k2")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_neardup, op3_licenses, op4_fingerprints, op5_mixture, op6_sharding,
-    op7_decontaminate, op8_langid, op9_tokens, op10_warc)}
+    op7_decontaminate, op8_langid, op9_tokens, op10_warc, op11_bpe, op12_alignment, op13_trie)}
 
 ORACLES: dict[str, str] = {}
