@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, steps
 
-#: Pre-tokens and pairs whose results a task keeps.
-CACHE = 1 << 16
+#: Pre-tokens whose ids a task keeps, and entries of its table of pairs.
+CACHE = 1 << 18
+PAIRS = 1 << 19
 #: Pre-tokens of more bytes are encoded anew each time they come.
 LONGEST_KEPT = 256
 #: Token ids that one numpy step of decoding handles; a longer single list is a step of its own.
@@ -120,7 +121,8 @@ class ByteBPE:
                 if start >= 0 and valid[start]:
                     self.shorter[t] = start
                     break
-        self.suits: OrderedDict[int, bool] = OrderedDict()
+        #: Pairs of tokens looked at so far, and whether they stand side by side in a result.
+        self.suits: dict[int, bool] = {}
         added = sorted(parts.get("added_tokens") or [], key=lambda t: -len(t["content"]))
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens must be plain strings")
@@ -152,15 +154,6 @@ class ByteBPE:
             else:
                 until, b = b + 1, self.left[b]
 
-    def _suit(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.suits.get(key)
-        if known is None:
-            known = self.suits[key] = self._apart(a, b)
-            if len(self.suits) > CACHE:
-                self.suits.popitem(last=False)
-        return known
-
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of each pre-token."""
         data = [p.encode().decode("latin-1") for p in pieces]
@@ -176,22 +169,32 @@ class ByteBPE:
         return out
 
     def _walk(self, longest: list[int], at: int, stop: int) -> list[int]:
-        size, shorter = self.size, self.shorter
+        size, shorter, suits = self.size, self.shorter, self.suits
         taken: list[int] = []
         failed: set[int] = set()
-        token = longest[at] if at < stop else -1
+        token, last = longest[at], -1
         while at < stop:
             end = at + size[token]
-            if end not in failed and (not taken or self._suit(taken[-1], token)):
+            fits = end not in failed
+            if fits and last >= 0:
+                pair = last << 32 | token
+                fits = suits.get(pair)
+                if fits is None:
+                    fits = suits[pair] = self._apart(last, token)
+            if fits:
                 taken.append(token)
-                at, token = end, longest[end]
+                at, last, token = end, token, longest[end]
             elif shorter[token] >= 0:
                 token = shorter[token]
             else:
                 failed.add(at)
                 token = taken.pop()
+                last = taken[-1] if taken else -1
                 at -= size[token]
-        return [self.id_of[t] for t in taken]
+        if len(suits) > PAIRS:
+            suits.clear()
+        ids = self.id_of
+        return [ids[t] for t in taken]
 
     def split(self, text: str, special: bool) -> list[str]:
         """Pre-tokens; strings of added tokens stand alone if special, else they are plain text."""
