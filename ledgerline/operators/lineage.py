@@ -19,13 +19,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder below the shared checkpoint folder that does not exist yet."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Compute once into the shared checkpoint folder; later readers survive lost executors.
 
     A table is written in one run of the plan; a checkpoint of its rows would run the last stage
     twice, and its readers could not leave out columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

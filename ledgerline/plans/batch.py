@@ -10,12 +10,6 @@ from ledgerline.sources import documents, sinks
 NOT_READ = "no content could be read"
 
 
-def _as_listed(path):
-    """The path of a file in a scan, spelled as in a listing: no escapes, one slash after `file:`."""
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(plain, "^file:/+", "file:/")
-
-
 def read_folder(spark: SparkSession, folder: str, grids: DataFrame | None = None,
                 pages: DataFrame | None = None, tables: DataFrame | None = None,
                 images: DataFrame | None = None):
@@ -30,7 +24,7 @@ def read_folder(spark: SparkSession, folder: str, grids: DataFrame | None = None
     if not inputs.filter(F.col("extension") == ".csv").isEmpty():
         rows = documents.read_csv_grids(spark, folder.rstrip("/") + "/*.[cC][sS][vV]")
         routes.append(pipeline.extract_spreadsheets(
-            rows.withColumn("doc_id", _as_listed(F.col("doc_id")))))
+            rows.withColumn("doc_id", documents.as_listed(F.col("doc_id")))))
     if grids is not None:
         routes.append(pipeline.extract_spreadsheets(grids))
     if pages is not None:
@@ -46,8 +40,7 @@ def run(spark: SparkSession, folder: str, out: str, customers: DataFrame, items:
 
     Every file of the folder ends in the results or in the rejects(doc_id, error): files of
     unsupported types, documents that gave no line, and files without any content, such as a
-    CSV file of blank lines or a PDF file that the decoder left out. Files of no bytes at all are
-    not listed (see `documents.discover`).
+    file of no bytes, a CSV file of blank lines or a PDF file that the decoder left out.
     A folder without any supported file raises FileNotFoundError. `decoded`: see `read_folder`.
     """
     routes, inputs, unsupported = read_folder(spark, folder, **decoded)

@@ -199,6 +199,40 @@ def ledger_docs(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame
                     ((o % 41 + 60) / 100.0).alias("confidence")))
 
 
+# --- sheets as files ---------------------------------------------------------------------
+
+ORDERS_PER_SHEET = 4096
+SHEET_HEADING = ["Order", "Line", "Description", "Quantity, pieces", "Note"]
+
+
+def write_csv_sheets(spark: SparkSession, folder: str, out: str) -> None:
+    """Every order line as a row of the CSV file of its sheet, below a row of names.
+
+    Descriptions hold separators, doubled quotes and line breaks in quoted cells, and a quote in a
+    cell without quotes, by turns.
+    """
+    lines = table(spark, folder, "lineitem").join(
+        table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"),
+        "l_partkey")
+    rows = lines.selectExpr(
+        f"l_orderkey div {ORDERS_PER_SHEET} as sheet", "l_orderkey as o", "l_linenumber as n",
+        "l_partkey as part", "bigint(l_quantity) as quantity", '''concat_ws(',', l_orderkey,
+          l_linenumber, case l_partkey % 4
+            when 0 then concat('"', p_name, ', size ', l_partkey % 7, '"')
+            when 1 then concat('"', p_name, '\\n', l_partkey, ' pieces\\r\\n"')
+            when 2 then concat('"5"" ', p_name, ',""', '"')
+            else concat(p_name, ' 3" long') end,
+          bigint(l_quantity), if(l_partkey % 3 = 0, "", '""')) as value''')
+    names = ",".join(f'"{h}"' if "," in h else h for h in SHEET_HEADING)
+    heads = rows.select("sheet").distinct().select(
+        "sheet", *[F.lit(None).cast("long").alias(c) for c in ("o", "n", "part", "quantity")],
+        F.lit(names).alias("value"))
+    # A file is written by one task; the number of orders in it is bounded.
+    (rows.unionByName(heads).repartition("sheet")
+     .sortWithinPartitions("sheet", "o", "n", "part", "quantity")
+     .select("sheet", "value").write.partitionBy("sheet").text(out))
+
+
 # --- masters and probes ----------------------------------------------------------------
 
 def customer_master(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,8 @@ reading the rendered document again.
 
 from ledgerline import constants as K
 from ledgerline.functions.text import BLANKS
-from ledgerline.plans.corpora import ADJECTIVES, GRID_HEADINGS, NOUNS, TABLE_HEADINGS
+from ledgerline.plans.corpora import (
+    ADJECTIVES, GRID_HEADINGS, NOUNS, ORDERS_PER_SHEET, SHEET_HEADING, TABLE_HEADINGS)
 
 ORACLES: dict[str, str] = {}
 
@@ -157,11 +158,32 @@ ORACLES["route_documents"] = f"""{LEDGER}
 SELECT doc_id, n_reasons IS NOT NULL AS needs_review, coalesce(n_reasons, 0) AS n_reasons
 FROM docs LEFT JOIN joined USING (doc_id)"""
 
+ORACLES["published_results"] = f"""{LEDGER}
+SELECT if(n_reasons IS NULL, 'approved', 'review') AS side, doc_id,
+       coalesce(n_reasons, 0) AS n_reasons, CAST(NULL AS INTEGER) AS rank,
+       CAST(NULL AS BIGINT) AS line_pos, CAST(NULL AS VARCHAR) AS reason
+FROM docs LEFT JOIN joined USING (doc_id)
+UNION ALL SELECT 'queue', doc_id, NULL, rank, line_pos, reason FROM reasons"""
+
 ORACLES["review_reasons"] = f"""{LEDGER}
 SELECT doc_id, 0 AS part, n_items, n_reasons IS NOT NULL AS needs_review,
        coalesce(reasons, '') AS reasons
 FROM filled_docs LEFT JOIN joined USING (doc_id)"""
 
+ORACLES["csv_sheets"] = f"""
+WITH rows AS (
+  SELECT l_orderkey // {ORDERS_PER_SHEET} AS sheet, row_number() OVER (
+           PARTITION BY l_orderkey // {ORDERS_PER_SHEET}
+           ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity::BIGINT) AS row_idx,
+         l_orderkey::VARCHAR AS c0, l_linenumber::VARCHAR AS c1, CASE l_partkey % 4
+           WHEN 0 THEN p_name || ', size ' || l_partkey % 7
+           WHEN 1 THEN p_name || chr(10) || l_partkey || ' pieces' || chr(13) || chr(10)
+           WHEN 2 THEN '5" ' || p_name || ',"' ELSE p_name || ' 3" long' END AS c2,
+         l_quantity::BIGINT::VARCHAR AS c3, CAST(NULL AS VARCHAR) AS c4
+  FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT sheet, row_idx, 5 AS width, c0, c1, c2, c3, c4 FROM rows
+UNION ALL SELECT DISTINCT sheet, 0, 5, {', '.join(map(_quoted, SHEET_HEADING))} FROM rows"""
+
 ORACLES["doc_confidence"] = f"""
 WITH {LEDGER_LINES}, sums AS (
   SELECT doc_id, list(match_confidence) AS c FROM lines GROUP BY doc_id),

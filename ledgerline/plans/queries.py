@@ -11,7 +11,7 @@ from ledgerline.functions.numbers import lenient_number
 from ledgerline.functions.scoring import partial_ratio, token_set_ratio
 from ledgerline.operators import fields, grid, matching, nesting, tables, textdoc, validation
 from ledgerline.operators.fallback import fallback_extract
-from ledgerline.operators.lineage import written
+from ledgerline.operators.lineage import new_folder, written
 from ledgerline.operators.totals import document_confidence
 from ledgerline.plans import corpora as C
 from ledgerline.plans import pipeline
@@ -73,6 +73,25 @@ def route_documents(spark, folder):
         .select("doc_id", "needs_review", "n_reasons")
 
 
+@query
+def published_results(spark, folder):
+    """Both sides of the routing and the review queue, published as one version and read back."""
+    docs, _, reasons = validation.validate(*_ledger(spark, folder))
+    out = new_folder(spark)
+    sinks.publish_routed(written(docs.select("doc_id", "needs_review", "n_reasons")),
+                         reasons, out)
+    sides = sinks.published(spark, out)
+    none = F.lit(None)
+    documents = [sides[name].select(
+        F.lit(name).alias("side"), "doc_id", "n_reasons", none.cast("int").alias("rank"),
+        none.cast("long").alias("line_pos"), none.cast("string").alias("reason"))
+        for name in ("approved", "review")]
+    queue = sides["queue"].select(F.lit("queue").alias("side"), "doc_id",
+                                  none.cast("long").alias("n_reasons"), "rank", "line_pos",
+                                  "reason")
+    return documents[0].unionByName(documents[1]).unionByName(queue)
+
+
 @query
 def review_reasons(spark, folder):
     docs, lines, reasons = validation.validate(*_ledger(spark, folder))
@@ -409,6 +428,17 @@ def route_files(spark, folder):
     return inputs.unionByName(rejects, allowMissingColumns=True)
 
 
+@query
+def csv_sheets(spark, folder):
+    """Order lines written to CSV files and read back: commas, quotes and line breaks in cells."""
+    out = new_folder(spark)
+    C.write_csv_sheets(spark, folder, out)
+    sheet = F.regexp_extract("doc_id", r"sheet=(\d+)/", 1).cast("long")
+    return sources.read_csv_grids(spark, out).select(
+        sheet.alias("sheet"), "row_idx", F.size("cells").alias("width"),
+        *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(C.SHEET_HEADING))])
+
+
 def reply_from_text(text: str) -> str:
     """A stand-in for an external extractor: JSON made from the words of the text."""
     words = text.split()

@@ -2,11 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline import constants as K
-from ledgerline.operators.lineage import written
-from ledgerline.operators.positions import number_rows
+from ledgerline.sources.csv_scan import read_csv_rows
 
 
 def suffix(path: Column) -> Column:
@@ -32,55 +30,28 @@ def route_files(files: DataFrame):
     return inputs, rejects
 
 
+def as_listed(path: Column) -> Column:
+    """The path of a file in a scan, spelled as in a listing: no escapes, one slash after `file:`."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:/")
+
+
 def discover(spark: SparkSession, folder: str) -> DataFrame:
     """files(path) of a folder, not its subfolders; file contents are never read.
 
-    Spark's file index leaves out files of zero bytes, so these are not listed.
+    A scan passes over files of zero bytes, so these are taken from the index that every scan of
+    the folder keeps: the paths, and nothing else, are held where Spark holds that index.
     """
-    found = spark.read.format("binaryFile").load(folder).select("path")
+    scan = spark.read.format("binaryFile").load(folder)
+    listed = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string")
+    found = listed.select(as_listed(F.col("path")).alias("path")).unionByName(
+        scan.select("path")).distinct()
     inputs, _ = route_files(found)
     if inputs.isEmpty():
         raise FileNotFoundError(f"no supported input documents in {folder}")
     return found
 
 
-def _parsed(spark: SparkSession, path, columns: int) -> DataFrame:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(columns)])
-    lines = (spark.read.schema(schema).option("header", False).option("multiLine", True)
-             .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-             .option("ignoreTrailingWhiteSpace", False).csv(path))
-    # A file is read by one task from top to bottom, so the id grows with the line.
-    return lines.select(F.col("_metadata.file_path").alias("doc_id"),
-                        F.monotonically_increasing_id().alias("seq"),
-                        F.array(*[f"c{i}" for i in range(columns)]).alias("cells"))
-
-
-#: Columns parsed beyond the widest line, to see whether a row over several lines is wider still.
-_SPARE = 8
-
-
 def read_csv_grids(spark: SparkSession, path) -> DataFrame:
-    """CSV documents -> rows(doc_id, row_idx, cells); doc_id is the path of the file.
-
-    Rows of any width: separators are counted first, and the rows of a file are as wide as its
-    widest line or row. Cells with line breaks can make a row wider than each of its lines; then
-    the columns are doubled until the spare ones stay empty. Blank lines are skipped, so
-    row 0 is the first line with a value.
-    """
-    count = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
-    widths = written(spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("doc_id"), count.alias("n")).groupBy("doc_id").agg(
-        (F.max("n") + 1).alias("width")))
-    widest = widths.agg(F.max("width")).first()[0] or 1
-    columns = widest
-    last = F.array_max(F.transform("cells", lambda c, i: F.when(c.isNotNull(), i + 1)))
-    while True:
-        read = _parsed(spark, path, columns + _SPARE)
-        used = written(read.groupBy("doc_id").agg(F.max(last).alias("used")))
-        if (used.agg(F.max("used")).first()[0] or 0) <= columns:
-            break
-        columns *= 2
-    read = read.join(widths.join(used, "doc_id"), "doc_id").withColumn(
-        "cells", F.slice("cells", F.lit(1), F.greatest("width", "used")))
-    chunk = [F.floor(F.col("seq") / K.ROWS_PER_CHUNK)]
-    return number_rows(read.drop("width", "used"), "doc_id", ["seq"], chunk, "row_idx").drop("seq")
+    """CSV documents -> rows(doc_id, row_idx, cells); see `csv_scan.read_csv_rows`."""
+    return read_csv_rows(spark, path)

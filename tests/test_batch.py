@@ -27,6 +27,7 @@ def test_every_file_ends_in_results_or_rejects(spark, known, tmp_path):
     (folder / "prose.csv").write_text("nothing to see\n")
     for name in ["read.pdf", "unread.pdf", "notes.txt", "scan.png"]:
         (folder / name).write_bytes(b"x")
+    (folder / "nothing.csv").write_bytes(b"")
     pages = spark.createDataFrame(
         [(listed(folder, "read.pdf"), 0, "INVOICE #: Q-5\nCustomer: Harbour Tools\n"
           "Item Description Qty Price Total\nbrass hinge 2 3.00 6.00\nSubtotal: 6.00")],
@@ -42,10 +43,11 @@ def test_every_file_ends_in_results_or_rejects(spark, known, tmp_path):
     assert errors == {"notes.txt": "Unsupported file extension: .txt",
                       "prose.csv": "no line items and no fallback",
                       "scan.png": "no line items and no fallback",
-                      "empty.csv": batch.NOT_READ, "unread.pdf": batch.NOT_READ}
+                      "empty.csv": batch.NOT_READ, "unread.pdf": batch.NOT_READ,
+                      "nothing.csv": batch.NOT_READ}
     assert spark.read.json(f"{out}/json").count() == 2
     assert spark.read.parquet(f"{out}/routed").count() == 2
-    assert spark.read.json(f"{out}/rejects").count() == 5
+    assert spark.read.json(f"{out}/rejects").count() == 6
 
 
 def test_folder_without_content(spark, known, tmp_path):

@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 import random
 
@@ -83,6 +85,77 @@ def test_rows_wider_than_each_of_their_lines(spark, tmp_path):
     assert [c for c in row.cells if c] == ["p\nq"] * 40
 
 
+def test_commas_in_quotes_are_no_columns(spark, tmp_path):
+    (tmp_path / "q.csv").write_text(
+        'SKU,Description,Qty,Customer:\n1,"bolt, steel, long, M4",2,ACME\n')
+    rows = documents.read_csv_grids(spark, str(tmp_path))
+    assert [r.cells for r in rows.orderBy("row_idx").collect()] == [
+        ["SKU", "Description", "Qty", "Customer:"], ["1", "bolt, steel, long, M4", "2", "ACME"]]
+    read = pipeline.extract_spreadsheets(rows)
+    assert read.docs.first().customer_raw == "1"
+    assert not any("Unnamed" in (c or "") for r in grid.clean_rows(rows).collect()
+                   for c in r.cells)
+
+
+@pytest.mark.parametrize("size", [700, 3000, 1 << 20])
+def test_csv_blocks(spark, tmp_path, size):
+    """Files cut into blocks of any size give the rows of the csv module over the whole file."""
+    rng = random.Random(size)
+    expected = {}
+    for i in range(12):
+        pool = ['"a\nb"', '""', ",", ",", "\n", "\n", "x y", " ", "é", "\r\n", '"p, ""q"""', 'r"s']
+        text = "".join(rng.choice(pool + ['"'] * (i % 3)) for _ in range(rng.choice([0, 5, 3000])))
+        if i == 7:
+            text = '"' + "long cell, " * 400 + '",end\nlast,row'
+        if i == 8:
+            text = "\ufeffname,\rother\r" * 300
+        text += '"' * (i % 3 and text.count('"') % 2)
+        (tmp_path / f"{i}.csv").write_bytes(text.encode())
+        body = text.removeprefix("\ufeff")
+        lines = io.StringIO(body, newline="").readlines()
+        reader, at, rows = csv.reader(io.StringIO(body, newline="")), 0, []
+        for row in reader:
+            begin, at = lines[at], reader.line_num
+            if len(row) > 1 or row and begin.strip():
+                rows.append([c or None for c in row])
+        width = max(map(len, rows), default=0)
+        expected[f"{i}.csv"] = [r + [None] * (width - len(r)) for r in rows]
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], size)
+        spark.conf.set(names[1], 1)
+        found = documents.read_csv_grids(spark, str(tmp_path)).collect()
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+    for name, rows in expected.items():
+        mine = sorted((r.row_idx, r.cells) for r in found if r.doc_id.endswith(f"/{name}"))
+        assert [i for i, _ in mine] == list(range(len(rows)))
+        cells = [c for _, c in mine]
+        # A cell that is never closed ends without the last line break of its file.
+        if cells != rows:
+            assert cells[:-1] == rows[:-1]
+            assert [(c or "").rstrip("\n") for c in cells[-1]] \
+                == [(c or "").rstrip("\n") for c in rows[-1]]
+
+
+def test_published_versions(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, folder)
+    docs = spark.createDataFrame([("a", True), ("b", False)], "doc_id string, needs_review boolean")
+    reasons = spark.createDataFrame([("a", (1, "", 0, 0), "why")], "doc_id string, place struct<"
+                                    "rank:int,sort_text:string,line_pos:bigint,step:int>, reason string")
+    assert sinks.publish_routed(docs, reasons, folder) == 1
+    broken = docs.withColumn("doc_id", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(folder, approved=docs, review=broken)
+    assert [r.doc_id for r in sinks.published(spark, folder)["review"].collect()] == ["a"]
+    assert sinks.publish_routed(docs.limit(0), reasons.limit(0), folder) == 2
+    assert all(t.count() == 0 for t in sinks.published(spark, folder).values())
+
+
 HEAD = ["SKU", "Description", "Qty", "Price", "Total"]
 
 
