@@ -155,24 +155,42 @@ class ByteBPE:
                 until, b = b + 1, self.left[b]
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each pre-token."""
+        """Ids of each pre-token.
+
+        One search takes the longest match at each place where the one before it ends. Where all
+        these suit each other they are the result; the other pre-tokens are walked."""
         data = [p.encode().decode("latin-1") for p in pieces]
-        joined = _PART.join(data)
-        size = self.size
-        longest = [-1] * (len(joined) + 1)
-        for end, token in self.find.iter(joined):  # later ends are longer tokens
-            longest[end - size[token] + 1] = token
-        out, start = [], 0
+        suits, ids = self.suits, self.id_of
+        out: list[list[int]] = []
+        found = self.find.iter_long(_PART.join(data))
+        stop = -1
         for piece in data:
-            out.append(self._walk(longest, start, start + len(piece)))
-            start += len(piece) + 1
+            stop += len(piece) + 1
+            taken, last, good = [], -1, True
+            while True:
+                end, token = next(found)
+                if good and last >= 0:
+                    good = suits.get(last << 32 | token)
+                    if good is None:
+                        good = suits[last << 32 | token] = self._apart(last, token)
+                taken.append(ids[token])
+                last = token
+                if end + 1 == stop:
+                    break
+            out.append(taken if good else self._walk(piece))
+        if len(suits) > PAIRS:
+            suits.clear()
         return out
 
-    def _walk(self, longest: list[int], at: int, stop: int) -> list[int]:
+    def _walk(self, piece: str) -> list[int]:
         size, shorter, suits = self.size, self.shorter, self.suits
+        stop = len(piece)
+        longest = [-1] * (stop + 1)
+        for end, token in self.find.iter(piece):  # later ends are longer tokens
+            longest[end - size[token] + 1] = token
         taken: list[int] = []
         failed: set[int] = set()
-        token, last = longest[at], -1
+        at, token, last = 0, longest[0], -1
         while at < stop:
             end = at + size[token]
             fits = end not in failed
@@ -191,8 +209,6 @@ class ByteBPE:
                 token = taken.pop()
                 last = taken[-1] if taken else -1
                 at -= size[token]
-        if len(suits) > PAIRS:
-            suits.clear()
         ids = self.id_of
         return [ids[t] for t in taken]
 
@@ -205,19 +221,19 @@ class ByteBPE:
 
     def encode(self, texts: list[str], special: bool = True) -> list[list[int]]:
         """Ids of each text. Distinct pre-tokens are encoded together and kept for later texts."""
-        split = [self.split(t, special) for t in texts]
         known = self.known
-        new = list({p for pieces in split for p in pieces}.difference(known))
-        known.update(zip(new, self.encode_pieces(new), strict=True))
-        if special:
-            known.update((content, [i]) for content, i in self.added.items())
-        out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
-        if special:
-            for content in self.added:
-                del known[content]
-        for piece in new:
-            if len(piece) > LONGEST_KEPT:
-                known.pop(piece, None)
+        added = {content: [i] for content, i in self.added.items()} if special else {}
+        split = [self.split(t, special) for t in texts]
+        out = [list(map(known.get, pieces)) for pieces in split]
+        new = list({p for pieces, ids in zip(split, out, strict=True) if None in ids
+                    for p, i in zip(pieces, ids, strict=True) if i is None}.difference(added))
+        fresh = dict(zip(new, self.encode_pieces(new), strict=True))
+        out = [list(chain.from_iterable(
+            ids if None not in ids else
+            [(fresh.get(p) or added[p]) if i is None else i
+             for p, i in zip(pieces, ids, strict=True)]))
+            for pieces, ids in zip(split, out, strict=True)]
+        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST_KEPT)
         while len(known) > CACHE:
             known.popitem(last=False)
         return out
