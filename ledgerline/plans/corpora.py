@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import round_binary
 from ledgerline.operators.positions import number_copies
-from ledgerline.operators.totals import exact_sums
+from ledgerline.operators.totals import exact_sum
 from ledgerline.operators.validation import fill_line_totals
 from ledgerline.sources.masters import master_from_table
 
@@ -179,8 +179,8 @@ def ledger_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def ledger_docs(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame:
     o = F.col("o_orderkey")
-    sums = exact_sums(fill_line_totals(lines).select("doc_id", "line_pos", "total_price"),
-                        ["total_price"])
+    sums = exact_sum(fill_line_totals(lines).select("doc_id", "line_pos", "total_price"),
+                     "total_price")
     tax = F.when(o % 3 != 0, (o % 500) / 100.0)
     shipping = F.when(o % 4 != 0, (o % 900) / 100.0)
     right = round_binary(F.coalesce("total_price", F.lit(0.0)) + F.coalesce("tax_amount", F.lit(0.0))

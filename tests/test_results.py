@@ -1,10 +1,14 @@
+import math
+import random
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import constants as K
 from ledgerline.operators import matching
 from ledgerline.operators.nesting import nest
-from ledgerline.operators.totals import document_confidence, exact_sums
+from ledgerline.operators.totals import document_confidence, exact_sum
 from ledgerline.operators.validation import validate
 
 DOC = ("doc_id string, document_number string, document_type string, customer_raw string, "
@@ -88,15 +92,34 @@ def test_sums_are_exact_in_any_order(spark):
     for n in (1, 4, 8):
         for order in (rows, rows[::-1]):
             df = spark.createDataFrame(order, "doc_id string, line_pos long, v double")
-            out = exact_sums(df.repartition(n), ["v"]).first()
+            out = exact_sum(df.repartition(n), "v").first()
             assert (out.n, out.v) == (8, 2.3)
 
 
 def test_sums_beyond_decimals_and_without_values(spark):
-    rows = spark.createDataFrame([("big", 0, 1e30), ("big", 1, 1.0), ("none", -1, None)],
-                                 "doc_id string, line_pos long, v double")
-    out = {r.doc_id: (r.n, r.v) for r in exact_sums(rows, ["v"]).collect()}
-    assert out == {"big": (2, 1e30), "none": (0, 0.0)}
+    rows = spark.createDataFrame(
+        [("big", 0, 1e30), ("big", 1, 1.0), ("none", -1, None), ("tiny", 0, 1e-13),
+         ("tiny", 1, 2e-13), ("third", 0, 1 / 3), ("least", 0, 5e-324), ("most", 0, 1.7e308),
+         ("odd", 0, float("inf")), ("odd", 1, 1.0), ("nan", 0, float("nan"))],
+        "doc_id string, line_pos long, v double")
+    out = {r.doc_id: (r.n, r.v) for r in exact_sum(rows, "v").collect()}
+    assert math.isnan(out.pop("nan")[1])
+    assert out == {"big": (2, 1e30), "none": (0, 0.0), "tiny": (2, 3e-13), "third": (1, 1 / 3),
+                   "least": (1, 5e-324), "most": (1, 1.7e308), "odd": (2, float("inf"))}
+
+
+def test_sums_of_any_magnitude_do_not_depend_on_order(spark):
+    rng = random.Random(4)
+    values = [rng.choice([1, -1]) * rng.random() * 10.0 ** rng.randint(-20, 25) for _ in range(400)]
+    values += [1e300, -1e300, 1e-13, 0.1, 0.2]
+    exact = sum(map(lambda v: Fraction(repr(v)), values))
+    found = set()
+    for n in (1, 3, 8):
+        rng.shuffle(values)
+        df = spark.createDataFrame([("d", i, v) for i, v in enumerate(values)],
+                                   "doc_id string, line_pos long, v double")
+        found.add(exact_sum(df.repartition(n), "v").first().v)
+    assert len(found) == 1 and abs(found.pop() - float(exact)) <= abs(float(exact)) * 1e-15
 
 
 def test_document_confidence(spark):
