@@ -305,5 +305,5 @@ def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -
 
     small_batches(encoded.sparkSession)
     asked = encoded.select("ids", *keep)
-    schema = asked.select(*keep, F.lit("").alias("text")).schema
+    schema = asked.select(*keep).schema.add("text", "string")
     return asked.mapInArrow(run, schema)

@@ -12,9 +12,12 @@ from .common import literals
 K, WINDOW = 4, 4
 #: Prime modulus and base of the rolling hash.
 PRIME, BASE = 2**31 - 1, 1_000_003
-#: Stretches of ids that a window function handles apart.
-STRETCHES = 256
+#: Bytes of text in a stretch of ids, which a window function handles apart, and the least and
+#: greatest number of stretches.
+STRETCH_BYTES, STRETCHES, MOST_STRETCHES = 1 << 27, 256, 1 << 13
 _POSITION = 2**31
+#: Hash of the mark before the first and behind the last word.
+_END = 1_234_567_891
 #: A letter of a script without blanks between words is a word; otherwise a run of letters is.
 WORDS = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}]"
          r"|[\p{L}\p{N}\p{M}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}"
@@ -39,8 +42,9 @@ def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
     A k-gram's hash is the polynomial of its words' hashes modulo a prime; the hashes of two words,
     then of four, come from their halves, so each step reuses what neighbours share. The least
     number of a window is the least hash and, on ties, the rightmost position; window minima come
-    from two steps of halves as well. Texts too short for a guaranteed match, below K + WINDOW - 1
-    words, keep every word's hash instead. A text without words is one word as it stands; a null or
+    from two steps of halves as well. K - 1 end marks stand before the first and behind the last
+    word, so the same rule holds for texts of any number of words: one of n has n windows, and
+    positions count from the first mark. A text without words is one word as it stands; a null or
     empty text has no fingerprint.
     """
     step = f"__{out}_"
@@ -50,17 +54,18 @@ def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
         F.length(text) > 0, F.array(F.col(text))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(f"{step}h", F.transform(
         f"{step}w", lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))).drop(f"{step}w")
+    ends = F.array_repeat(F.lit(_END).cast("long"), K - 1)
+    df = df.withColumn(f"{step}h", F.when(F.size(f"{step}h") > 0, F.concat(
+        ends, f"{step}h", ends)).otherwise(F.col(f"{step}h")))
     df = df.withColumn(f"{step}g", _beside(F.col(f"{step}h"), 1, _rolled(1)))
     df = df.withColumn(f"{step}g", _beside(F.col(f"{step}g"), 2, _rolled(2)))
-    short = F.size(f"{step}h") < K + WINDOW - 1
     df = df.withColumn(f"{step}p", F.transform(
-        F.when(short, F.col(f"{step}h")).otherwise(F.col(f"{step}g")),
-        lambda g, i: g * _POSITION + (_POSITION - 1 - i))).drop(f"{step}g")
+        f"{step}g", lambda g, i: g * _POSITION + (_POSITION - 1 - i))).drop(f"{step}g")
     lesser = lambda x, y: F.least(x, y)
     df = df.withColumn(f"{step}m", _beside(F.col(f"{step}p"), 1, lesser))
     df = df.withColumn(f"{step}m", _beside(F.col(f"{step}m"), 2, lesser))
-    return df.withColumn(out, F.when(short, F.col(f"{step}p")).otherwise(F.array_distinct(
-        f"{step}m"))).drop(f"{step}h", f"{step}p", f"{step}m")
+    return df.withColumn(out, F.array_distinct(f"{step}m")).drop(
+        f"{step}h", f"{step}p", f"{step}m")
 
 
 def hashes(marks: Column) -> Column:
@@ -98,13 +103,16 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
     Ids are cut at quantiles into stretches, each a window of its own, which also gets the first
     rows of the following stretch, so neighbours meet without sorting all rows in one task. Whole
-    texts move once. Cuts and first ids, STRETCHES numbers each, are all the driver sees.
+    texts move once. There are as many stretches as the texts' bytes ask for; cuts and first ids,
+    at most MOST_STRETCHES numbers each, are all the driver sees.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-2**63))
     rows = docs.select(F.col("doc_id"), order.alias("__order"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    shares = [k / STRETCHES for k in range(1, STRETCHES)]
-    cuts = rows.agg(F.percentile_approx("__order", shares, 10_000)).first()[0]
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = min(MOST_STRETCHES, max(STRETCHES, -(-size // STRETCH_BYTES)))
+    shares = [k / number for k in range(1, number)]
+    cuts = rows.agg(F.percentile_approx("__order", shares, 40 * number)).first()[0]
     borders = sorted(set(cuts or []))
     stretch = F.size(F.filter(literals(borders, "bigint"), lambda b: b <= F.col("__order")))
     firsts = sorted(tuple(r) for r in rows.groupBy(stretch.alias("s")).agg(

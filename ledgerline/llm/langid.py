@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,68 +19,65 @@ SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Code points of a text that one numpy step handles; counts and scores add up over steps.
 _CHUNK = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages of a model: its matrix has BUCKETS numbers for each and is broadcast.
+MOST_LANGUAGES = 1 << 10
+# Letters are Unicode's, for n-grams and for `und` alike; marks only stand inside words.
+_LETTER = regex.compile(r"\p{L}")
+_GAP = regex.compile(r"[^\p{L}\p{M}]+")
 _PLACE = np.random.default_rng(5).integers(0, 2**64, max(ORDERS), np.uint64) | np.uint64(1)
-_letters: np.ndarray | None = None
 
 
-def _is_letter() -> np.ndarray:
-    global _letters
-    if _letters is None:
-        _letters = np.array([chr(c).isalpha() or 0x300 <= c < 0x370 for c in range(0x10000)])
-    return _letters
+def normal(text: str | None) -> str:
+    """Lowered words with one blank before, between and behind them; "" without a letter."""
+    if not text or not _LETTER.search(text):
+        return ""
+    return f" {_GAP.sub(' ', text.lower()).strip(' ')} "
 
 
 def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, index of the text of each) over the n-grams of all texts, in bounded chunks.
 
-    Texts are lowered; every run of characters other than letters is one blank. N-grams of blanks
-    alone are left out. No n-gram crosses two texts."""
-    pieces, owners, held = [], [], 0
+    Texts are lowered; every run of characters other than letters and marks is one blank. The
+    blank alone is no n-gram, and none crosses two texts. A long text comes in several chunks,
+    each with the n-grams that begin in it, so chunks change no count."""
+    pieces, owners, begin, held = [], [], [], 0
     for i, text in enumerate(texts):
-        lowered = (text or "").lower()
-        for a in range(0, len(lowered), _CHUNK - max(ORDERS)):
-            piece = lowered[max(0, a - max(ORDERS) + 1):a + _CHUNK - max(ORDERS)]
-            pieces.append(" " + piece + " ")
+        whole = normal(text)
+        for a in range(0, len(whole), _CHUNK):
+            # What follows the chunk completes the n-grams that begin at its end.
+            piece = whole[a:a + _CHUNK + max(ORDERS) - 1]
+            pieces.append(piece)
             owners.append(i)
-            held += len(piece) + 2
+            begin.append(min(_CHUNK, len(whole) - a))
+            held += len(piece)
             if held >= _CHUNK:
-                yield _buckets(pieces, owners)
-                pieces, owners, held = [], [], 0
+                yield _buckets(pieces, owners, begin)
+                pieces, owners, begin, held = [], [], [], 0
     if pieces:
-        yield _buckets(pieces, owners)
+        yield _buckets(pieces, owners, begin)
 
 
-def _buckets(pieces: list[str], owners: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _buckets(pieces: list[str], owners: list[int], begin: list[int]
+             ) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(owners, [len(p) for p in pieces]).astype(np.int32)
-    letter = np.where(codes < 0x10000, _is_letter()[codes & 0xFFFF], True)
-    keep = letter.copy()
-    keep[:-1] |= letter[1:]
-    first = np.zeros(len(codes), bool)
-    first[1:] = ~letter[1:] & letter[:-1]
-    keep = letter | first | keep
-    codes, owner, letter = np.where(letter, codes, 32)[keep], owner[keep], letter[keep]
-    # Of a run of blanks between two words, one stays.
-    twin = np.zeros(len(codes), bool)
-    twin[1:] = ~letter[1:] & ~letter[:-1] & (owner[1:] == owner[:-1])
-    codes, owner, letter = codes[~twin].astype(np.uint64), owner[~twin], letter[~twin]
+    sizes = np.array([len(p) for p in pieces])
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+    inside = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begins = inside < np.array(begin)[piece]
+    word = codes != 32
+    codes = codes.astype(np.uint64)
     found, of = [], []
     for n in ORDERS:
-        size = len(codes) - n + 1
-        if size <= 0:
-            continue
+        size = max(0, len(codes) - n + 1)
         key = np.full(size, n, np.uint64)
-        whole = owner[:size] == owner[n - 1:]
         some = np.zeros(size, bool)
         for k in range(n):
             key += codes[k:k + size] * _PLACE[k]
-            some |= letter[k:k + size]
-        whole &= some
-        found.append((mixed(key[whole]) >> np.uint64(64 - 16)).astype(np.int32))
-        of.append(owner[:size][whole])
-    return (np.concatenate(found), np.concatenate(of)) if found else (
-        np.zeros(0, np.int32), np.zeros(0, np.int32))
+            some |= word[k:k + size]
+        some &= begins[:size] & (piece[:size] == piece[n - 1:n - 1 + size])
+        found.append((mixed(key[some]) >> np.uint64(64 - 16)).astype(np.int32))
+        of.append(piece[:size][some])
+    return np.concatenate(found), np.array(owners, np.int32)[np.concatenate(of)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,6 +137,8 @@ def train(labelled: DataFrame) -> Model:
     counted = parts.mapInArrow(run, "lang string, bucket int, n long").groupBy(
         "lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(
         F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns"))
+    if labelled.select("lang").distinct().limit(MOST_LANGUAGES + 2).count() > MOST_LANGUAGES + 1:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     rows = sorted(counted.collect(), key=lambda r: r.lang)
     dense = np.full((len(rows), BUCKETS), SMOOTHING)
     for i, row in enumerate(rows):
@@ -175,7 +174,7 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     Learns from text and lang of the rows that are not held out; predictions read the text only.
     score is the probability of the language among those learned, 0 for `und`: null text, text
     without a letter, or no labelled row at all. Ties go to the first language by name. Languages
-    weigh alike, however many documents they have. A null doc_id is not held out; repeated rows
+    weigh alike, however many documents they have; more than MOST_LANGUAGES are an error. A null doc_id is not held out; repeated rows
     get the same result each; an empty table gives no rows.
     """
     model = train(docs.filter(~held_out(F.col("doc_id"))))

@@ -97,4 +97,48 @@ QUERIES = {f.__name__: f for f in (
     op1_pii, op2_neardup, op3_licenses, op4_fingerprints, op5_mixture, op6_sharding,
     op7_decontaminate, op8_langid, op9_tokens, op10_warc, op11_bpe, op12_alignment, op13_trie)}
 
-ORACLES: dict[str, str] = {}
+#: CRC-32 of the decimal digits of an id, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+  string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda x, zero: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+ORACLES: dict[str, str] = {"op13_trie": f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(
+           length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32.format('conv_id')} % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM turns)),
+built AS (
+  SELECT c.conv_id, t.k AS place, t.role, t.text
+  FROM convs c JOIN turns t ON t.conv_id = c.base AND t.k <= c.h
+  UNION ALL SELECT c.conv_id, t.k + 1000000000, t.role, t.text
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.k > c.h),
+steps AS (
+  SELECT conv_id, row_number() OVER along AS depth, text,
+         list(sha256(length(role) || ':' || role || text)) OVER along AS path
+  FROM built WINDOW along AS (PARTITION BY conv_id ORDER BY place)),
+members AS (
+  SELECT conv_id, depth, text, path FROM steps
+  UNION ALL SELECT conv_id, 0, '', [] FROM convs),
+ends AS (SELECT conv_id, max(depth) AS last FROM members GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS saves,
+         sha256(coalesce(string_agg(CASE WHEN depth = last THEN conv_id::VARCHAR END, ','
+                         ORDER BY conv_id), '')) AS ends_sha256
+  FROM members JOIN ends USING (conv_id) GROUP BY path, depth),
+kids AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0
+         GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children
+          FROM nodes LEFT JOIN kids USING (path)),
+below AS (
+  SELECT path[:d] AS path, sum(saves) AS saved_tokens,
+         count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM known, LATERAL (SELECT unnest(range(0, depth + 1)) AS d) GROUP BY ALL)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM known n JOIN below b USING (path)
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]"""}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -15,8 +14,6 @@ from pyspark.sql import functions as F
 from .common import small_batches, steps
 
 MARK = "▁"
-#: Pre-tokens of more symbols are merged one at a time from a heap, in the same order.
-LONGEST = 512
 #: Counts of pre-tokens that a task keeps.
 CACHE = 1 << 16
 _PRE_TOKEN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -55,7 +52,10 @@ class Vocabulary:
                 left, right = self.number.get(piece[:k]), self.number.get(piece[k:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = (order[score], self.number[piece])
-        self.pairs = pairs
+        beside = {self.number[a] << 32 | self.number[b] for piece, _ in pieces
+                  for a, b in zip(piece, piece[1:], strict=False)}
+        #: Characters that stand side by side in a piece; no merge crosses any others.
+        self.beside = np.array(sorted(beside), np.int64)
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()] + [_NONE], np.int64)
         self.joined = np.array([pairs[k][1] for k in self.keys.tolist()] + [0], np.int64)
@@ -82,76 +82,92 @@ class Vocabulary:
         return np.where(self.keys[at] == key, at, len(self.keys)) if len(self.keys) else (
             np.zeros(len(key), np.int64))
 
+    def _parted(self, symbols: np.ndarray) -> np.ndarray:
+        """Whether no piece holds a character and the next one side by side."""
+        key = symbols[:-1] << 32 | symbols[1:]
+        if not len(self.beside):
+            return np.ones(len(key), bool)
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        return self.beside[at] != key
+
     def count(self, tokens: list[str]) -> np.ndarray:
         """Tokens of each pre-token.
 
-        All sequences lie behind each other in one array. A round finds the lowest rank of each
-        sequence, its leftmost place on ties, joins these pairs in all sequences at once and looks
-        up the pairs beside them; sequences without a pair leave with the symbols they have left.
+        All lie behind each other in one array, cut further wherever no piece spans two
+        characters, which leaves short sequences also in scripts without blanks. A round finds the
+        lowest rank of each sequence, joins its pairs of that rank from left to right in all
+        sequences at once and looks up the pairs beside them. Where a joined symbol gets a pair of
+        the same or a lower rank, that one may come first, so only the leftmost is joined in this
+        round. Sequences without a pair leave with the symbols they have left.
         """
-        out = np.zeros(len(tokens), np.int64)
         lengths = np.array([len(t) for t in tokens], np.int64)
-        for i in np.flatnonzero(lengths > LONGEST):
-            out[i] = self._one_by_one(tokens[i])
-        live = np.flatnonzero((lengths > 0) & (lengths <= LONGEST))
-        symbols = np.array(self.numbered("".join(tokens[i] for i in live)), np.int64)
-        start = np.concatenate([[0], np.cumsum(lengths[live])]).astype(np.int64)
-        pair = np.full(len(symbols), len(self.keys), np.int64)
-        if len(symbols) > 1:
-            pair[:-1] = self.look_up(symbols[:-1], symbols[1:])
-        pair[start[1:] - 1] = len(self.keys)
+        symbols = np.array(self.numbered("".join(tokens)), np.int64)
+        owner = np.repeat(np.arange(len(tokens)), lengths)
+        out = np.zeros(len(tokens), np.int64)
+        if not len(symbols):
+            return out
+        cut = np.ones(len(symbols) + 1, bool)
+        cut[1:-1] = (owner[1:] != owner[:-1]) | self._parted(symbols)
+        start = np.flatnonzero(cut)
+        live = owner[start[:-1]]
+        none = len(self.keys)
+        pair = np.full(len(symbols), none, np.int64)
+        pair[:-1] = self.look_up(symbols[:-1], symbols[1:])
+        pair[start[1:] - 1] = none
         while len(live):
-            place = self.ranks[pair] * (LONGEST + 1)
-            inside = np.arange(len(symbols)) - np.repeat(start[:-1], np.diff(start))
-            best = np.minimum.reduceat(place + inside, start[:-1])
-            going = best < _NONE
-            at = start[:-1][going] + best[going] % (LONGEST + 1)
+            sizes = np.diff(start)
+            rank = self.ranks[pair]
+            lowest = np.minimum.reduceat(rank, start[:-1])
+            going = lowest < _NONE
             if not going.all():
                 sums = np.add.reduceat(self.cost[symbols], start[:-1])
-                out[live[~going]] = sums[~going]
-            stay = np.repeat(going, np.diff(start))
+                np.add.at(out, live[~going], sums[~going])
+                stay = np.repeat(going, sizes)
+                symbols, pair, rank = symbols[stay], pair[stay], rank[stay]
+                live, lowest, sizes = live[going], lowest[going], sizes[going]
+                start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+                if not len(live):
+                    break
+            at = np.flatnonzero(rank == np.repeat(lowest, sizes))
+            # Of pairs that share a symbol every other one is joined, from the left.
+            first = np.ones(len(at), bool)
+            first[1:] = at[1:] != at[:-1] + 1
+            run = np.flatnonzero(first)[np.cumsum(first) - 1]
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            of = np.searchsorted(start, at, "right") - 1
+            at = at[self._in_order(symbols, pair, at, of, start, lowest)]
+            of = np.searchsorted(start, at, "right") - 1
             symbols[at] = self.joined[pair[at]]
+            stay = np.ones(len(symbols), bool)
             stay[at + 1] = False
-            place_of = np.cumsum(stay) - 1
-            sizes = np.diff(start)[going] - 1
-            symbols, pair, at = symbols[stay], pair[stay], place_of[at]
-            live = live[going]
+            at = (np.cumsum(stay) - 1)[at]
+            symbols, pair = symbols[stay], pair[stay]
+            sizes = sizes - np.bincount(of, minlength=len(live))
             start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            first, last = start[:-1], start[1:] - 1
-            pair[at] = np.where(at < last, self.look_up(
-                symbols[at], symbols[np.minimum(at + 1, len(symbols) - 1)]), len(self.keys))
-            behind, left = at > first, np.maximum(at - 1, 0)
-            pair[left[behind]] = self.look_up(symbols[left[behind]], symbols[at[behind]])
+            inner = at < start[of + 1] - 1
+            pair[at] = none
+            pair[at[inner]] = self.look_up(symbols[at[inner]], symbols[at[inner] + 1])
+            behind = at[at > start[of]]
+            pair[behind - 1] = self.look_up(symbols[behind - 1], symbols[behind])
         return out
 
-    def _one_by_one(self, token: str) -> int:
-        symbols = self.numbered(token)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n:
-                hit = self.pairs.get(symbols[i] << 32 | symbols[j])
-                if hit:
-                    heapq.heappush(heap, (hit[0], i, symbols[i], symbols[j], hit[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, left, right, joined = heapq.heappop(heap)
-            j = after[i] if symbols[i] == left else n
-            if j >= n or symbols[j] != right:
-                continue
-            symbols[i], symbols[j] = joined, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return sum(int(self.cost[s]) for s in symbols if s >= 0)
+    def _in_order(self, symbols: np.ndarray, pair: np.ndarray, at: np.ndarray, of: np.ndarray,
+                  start: np.ndarray, lowest: np.ndarray) -> np.ndarray:
+        """Which of the pairs at `at` can be joined in one round: all of a sequence, or its first
+        if joining one from the left makes a pair that ranks no later."""
+        joined = self.joined[pair[at]]
+        left = symbols[np.maximum(at - 1, 0)]
+        after = np.zeros(len(at), bool)
+        after[1:] = at[1:] == at[:-1] + 2
+        left[1:] = np.where(after[1:], joined[:-1], left[1:])
+        right = symbols[np.minimum(at + 2, len(symbols) - 1)]
+        early = (self.ranks[self.look_up(left, joined)] <= lowest[of]) & (at > start[of])
+        early |= (self.ranks[self.look_up(joined, right)] <= lowest[of]) & (at + 2 < start[of + 1])
+        mixed = np.zeros(len(lowest), bool)
+        mixed[of[early]] = True
+        leftmost = np.ones(len(at), bool)
+        leftmost[1:] = of[1:] != of[:-1]
+        return leftmost | ~mixed[of]
 
 
 def _pre_tokens(text: str) -> list[str]:
@@ -163,9 +179,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
 
     path names the vocabulary file, which every executor has. Whole texts are counted as the
     library encodes them, with its leading mark and without begin or end tokens. Distinct
-    pre-tokens of a step of texts are merged together; a task keeps the counts of the latest ones.
-    Nothing is shuffled. A null text counts as empty: no bytes, no tokens.
-    Repeated rows get the same result each; an empty table gives no rows.
+    pre-tokens of a step of texts are merged together, of any length; a task keeps the counts of the
+    latest ones. Nothing is shuffled. A null text counts as empty: no bytes, no tokens.
+    A null doc_id stays null, other columns are left out. Repeated rows get the same result each; an empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.from_file(path)

@@ -113,18 +113,61 @@ def test_fingerprints_follow_the_definition(spark):
         [(" ".join(words),)], "text string")).collect()
     names = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(fingerprints.PRIME)).alias(w)
                                     for w in "abc"]).first()
+    assert [(m >> 31, 2**31 - 1 - m % 2**31) for m in row.marks] == winnowed(
+        [names[w] for w in words])
+
+
+def winnowed(hashes):
+    """(hash, position) by the definition, with three end marks on either side."""
+    padded = [fingerprints._END] * 3 + hashes + [fingerprints._END] * 3 if hashes else []
     grams = []
-    for i in range(len(words) - 3):
+    for i in range(len(padded) - 3):
         h = 0
-        for w in words[i:i + 4]:
-            h = (h * fingerprints.BASE + names[w]) % fingerprints.PRIME
+        for w in padded[i:i + 4]:
+            h = (h * fingerprints.BASE + w) % fingerprints.PRIME
         grams.append(h)
     chosen = []
     for i in range(len(grams) - 3):
         at = max(j for j in range(i, i + 4) if grams[j] == min(grams[i:i + 4]))
         if at not in chosen:
             chosen.append(at)
-    assert [(m >> 31, 2**31 - 1 - m % 2**31) for m in row.marks] == [(grams[j], j) for j in chosen]
+    return [(grams[j], j) for j in chosen]
+
+
+def test_likeness_of_neighbours(spark):
+    """near_edited and near_next recomputed, for texts of one to fifteen words."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(6)]
+    names = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(fingerprints.PRIME)).alias(w)
+                                    for w in words]).first().asDict()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(i % 15 + 1)), None, None, None)
+            for i in range(40)]
+
+    def marks(text):
+        used = [w for w in text.split(" ") if w]
+        for w in used:
+            if w not in names:
+                names[w] = spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(
+                    fingerprints.PRIME))).first()[0]
+        return {h for h, _ in winnowed([names[w] for w in used])}
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+    for r in fingerprints.with_edits(frame(spark, rows)).collect():
+        text, after = rows[r.doc_id][1], rows[(r.doc_id + 1) % len(rows)][1]
+        quarter = len(text) // 4
+        assert r.near_edited == like(marks(text), marks(text[:len(text) - quarter] + after[:quarter]))
+        assert r.near_next == like(marks(text), marks(after))
+
+
+def test_fingerprints_have_no_border_of_length(spark):
+    rows = [(n, " ".join(f"v{i}" for i in range(n)), None, None, None) for n in range(1, 12)]
+    rows += [(100 + n, " ".join(["other", *(f"v{i}" for i in range(1, n))]), None, None, None)
+             for n in range(1, 12)]
+    marked = {r.doc_id: {m >> 31 for m in r.marks}
+              for r in fingerprints.fingerprint(frame(spark, rows)).collect()}
+    assert all(marked[n] & marked[100 + n] for n in range(5, 12))
+    assert all(1 <= len(marked[n]) <= n for n in range(1, 12))
 
 
 def test_fingerprints_of_odd_rows(spark):
@@ -275,18 +318,65 @@ def test_language(spark):
     assert langid.identify(frame(spark, [])).count() == 0
 
 
-def test_language_counts_do_not_depend_on_chunks(monkeypatch):
-    texts = ["Aé b-c  d" * 9, None, "", "日本 語x" * 5, "..", "q"]
-
-    def counts():
-        out = collections.Counter()
-        for bucket, owner in langid.grams(texts):
-            out.update(zip(bucket.tolist(), owner.tolist(), strict=True))
-        return out
-    whole = counts()
-    assert set(o for _, o in whole) == {0, 3, 5}
-    monkeypatch.setattr(langid, "_CHUNK", 40)
-    assert set(counts()) >= set(whole)
+def counted(texts):
+    out = collections.Counter()
+    for bucket, owner in langid.grams(texts):
+        out.update(zip(bucket.tolist(), owner.tolist(), strict=True))
+    return out
+
+
+def plain_grams(text):
+    """Buckets of the n-grams of one text, one by one."""
+    import regex
+    if not text or not regex.search(r"\p{L}", text):
+        return collections.Counter()
+    text = " " + regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip(" ") + " "
+    out = collections.Counter()
+    for n in langid.ORDERS:
+        for i in range(len(text) - n + 1):
+            if text[i:i + n] != " ":
+                key = n + sum(ord(c) * int(langid._PLACE[k]) for k, c in enumerate(text[i:i + n]))
+                key %= 2**64
+                key = (key ^ key >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                key = (key ^ key >> 27) * 0x94D049BB133111EB % 2**64
+                out[(key ^ key >> 31) >> 48] += 1
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 40, 1 << 18])
+def test_language_counts_do_not_depend_on_chunks(monkeypatch, chunk):
+    texts = ["Aé b-c  d" * 9, None, "", "日本 語x" * 5, "..", "q", "²½ ①Ⅷ", "नमस्ते", "a\u0301"]
+    monkeypatch.setattr(langid, "_CHUNK", chunk)
+    plain = collections.Counter()
+    for i, text in enumerate(texts):
+        plain.update({(b, i): n for b, n in plain_grams(text).items()})
+    assert counted(texts) == plain
+    assert {o for _, o in plain} == {0, 3, 5, 7, 8}
+
+
+def test_language_against_a_second_bayes(spark):
+    import math
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(6)), lang,
+             "s", "s") for i in range(80) for lang, letters in [("ab", "aeboi"), ("bc", "bcoi")]
+            if i % 2 == (lang == "ab")]
+    rows += [(1000, "①½ 12", None, "s", "s"), (1001, "zzz", "ab", "s", "s")]
+    sums = {}
+    for d, text, lang, *_ in rows:
+        if lang and zlib.crc32(str(d).encode()) % 4 != 2:
+            sums.setdefault(lang, collections.Counter()).update(plain_grams(text))
+    total = {lang: sum(c.values()) + langid.SMOOTHING * langid.BUCKETS for lang, c in sums.items()}
+    for r in langid.identify(frame(spark, rows)).collect():
+        grams = plain_grams(next(t for d, t, *_ in rows if d == r.doc_id))
+        score = {lang: sum(n * math.log((sums[lang][b] + langid.SMOOTHING) / total[lang])
+                           for b, n in grams.items()) / len(langid.ORDERS) for lang in sums}
+        if not grams:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        best = max(sorted(score), key=score.get)
+        assert r.lang_pred == best
+        assert r.score == pytest.approx(1 / sum(math.exp(v - score[best]) for v in score.values()),
+                                        rel=1e-3)
 
 
 def model_path():
@@ -310,6 +400,45 @@ def test_tokens(spark):
     assert tokens.count_tokens(frame(spark, []), model_path()).count() == 0
 
 
+def merged(vocabulary, token):
+    """Plain merging, one pair at a time: the best rank, then the leftmost."""
+    pairs = {int(k): (int(r), int(j)) for k, r, j in zip(
+        vocabulary.keys, vocabulary.ranks, vocabulary.joined, strict=False)}
+    symbols = vocabulary.numbered(token)
+    while True:
+        best = min(((pairs[k][0], i) for i in range(len(symbols) - 1)
+                    if (k := symbols[i] << 32 | symbols[i + 1]) in pairs), default=None)
+        if best is None:
+            return sum(int(vocabulary.cost[s]) for s in symbols)
+        i = best[1]
+        symbols[i:i + 2] = [pairs[symbols[i] << 32 | symbols[i + 1]][1]]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_rounds_merge_as_one_pair_at_a_time(seed):
+    """Small vocabularies with equal ranks, and pairs that arise late but rank early."""
+    rng = random.Random(seed)
+    pieces = {c: -100.0 for c in "abc"}
+    for _ in range(rng.randint(1, 10)):
+        pieces.setdefault(rng.choice(list(pieces)) + rng.choice(list(pieces)), -rng.randint(1, 6))
+    vocabulary = tokens.Vocabulary(list(pieces.items()))
+    texts = ["".join(rng.choice("abc" if seed % 2 else "ab") for _ in range(rng.randint(1, 40)))
+             for _ in range(30)] + ["a" * 700, "ab" * 500, "?"]
+    assert vocabulary.count(texts).tolist() == [merged(vocabulary, t) for t in texts]
+
+
+def test_tokens_of_odd_rows(spark):
+    from sentencepiece import SentencePieceProcessor
+    model = SentencePieceProcessor(model_file=model_path())
+    rows = [*ODD, (20, "日本国東京大学" * 600, None, None, "s"), (21, "=" * 4000, None, None, "s"),
+            (22, "<s> <0x41> \u2581x", None, None, "s")]
+    found = tokens.count_tokens(frame(spark, rows), model_path()).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_bytes, r.over_limit)
+                  for r in found) == sorted(
+        (d is None, d or 0, n, len((t or "").encode()), n > 4096) for d, t, *_ in rows
+        for n in [len(model.encode(t or ""))])
+
+
 def test_archives(spark):
     texts = ["<p>one</p>", "<p>one</p>", "", None, "é" * 100_000, "line\r\n\r\nWARC/1.1\r\n", "<p>one</p>", "é" * 100_000]
     rows = [(i, None if i == 2 else f"http://x/{i}\n?ü", t) for i, t in enumerate(texts)]
