@@ -68,10 +68,6 @@ def _packed(keyed: DataFrame, columns: list[str], size: int) -> DataFrame:
             .select("key", "pack", *[F.col("rows." + c).alias(c + "s") for c in columns]))
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _compare(probes: DataFrame, choices: DataFrame, cutoff: float, small: bool) -> DataFrame:
     """(key, text, floor) against (key, text, row_pos) on key -> best (probe, score, row_pos)."""
     batches = _packed(probes, ["text", "floor"], PROBES_PER_BATCH)
@@ -80,16 +76,17 @@ def _compare(probes: DataFrame, choices: DataFrame, cutoff: float, small: bool)
     if small:
         pairs = batches.join(F.broadcast(blocks), "key")
     else:
-        # A frequent key has many batches: spread them, and copy its blocks to every spread.
-        spreads = _shuffle_partitions(probes)
-        pairs = (batches.withColumn("spread", F.pmod("pack", F.lit(spreads)))
-                 .join(blocks.withColumn("spread", F.explode(
-                     F.sequence(F.lit(0).cast("bigint"), F.lit(spreads - 1).cast("bigint")))),
-                     ["key", "spread"]))
+        # A block is copied once for each batch of its key: no key's rows meet in one task.
+        batches = written(batches)
+        copies = batches.groupBy("key").agg(F.max("pack").alias("last"))
+        pairs = batches.join(blocks.join(copies, "key").withColumn(
+            "pack", F.explode(F.sequence(F.lit(0).cast("bigint"), "last"))).drop("last"),
+            ["key", "pack"])
     # The work is in the comparison, not in the bytes: a fixed number of partitions keeps adaptive
     # execution from merging small but expensive ones.
     context = probes.sparkSession.sparkContext
-    pairs = pairs.repartition(max(context.defaultParallelism, _shuffle_partitions(probes)))
+    partitions = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(max(context.defaultParallelism, partitions))
     match = block_matches(cutoff)("texts", "floors", "choices", "row_poss")
     return pairs.select(F.explode(match).alias("m")).select("m.*")
 
@@ -117,8 +114,9 @@ def fuzzy_top1(probes: DataFrame, choices: DataFrame, cutoff: float,
 
     keep = (cutoff / 100.0) / (2.0 - cutoff / 100.0)
     wanted, offered = written(_features(wanted)), written(_features(distinct))
-    size = offered.agg(F.sum("length")).first()[0] or 0
-    # A choice is held once per token and once per band.
+    # What is sent holds a choice once for each token, each leading token and its band.
+    held = F.size("tokens") + F.size(_leading(keep)) + 1
+    size = offered.agg(F.sum(F.col("length") * held)).first()[0] or 0
     small = size <= broadcast_chars
 
     def on_tokens(df, kind, taken, *extra):

@@ -1,8 +1,8 @@
 """Business documents written out of the order tables.
 
 The given tables hold orders, not documents, so each order row is rendered as a document: as text,
-as a spreadsheet grid, or as decoded tables. Every document comes from one row of `orders`, so
-nothing is grouped and the work grows with the table. `oracles` states what reading them must
+as a spreadsheet grid, or as decoded tables, with all its lines in `lineitem` and their names in
+`part`, so the work grows with the tables. `oracles` states what reading them must
 return.
 """
 
@@ -10,15 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import round_binary
+from ledgerline.operators.lineage import written
 from ledgerline.operators.positions import number_copies
 from ledgerline.operators.totals import exact_sum
 from ledgerline.operators.validation import fill_line_totals
 from ledgerline.sources.masters import master_from_table
 
-# The words of part names.
-ADJECTIVES = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
-NOUNS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
-
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 GRID_HEADINGS = [
     ["SKU", "Item Description", "Quantity", "Unit Price ($)", "Total ($)"],
     ["Description", "Qty", "Price", "Amount", "Code"],
@@ -51,34 +49,43 @@ def _money(cents: str) -> str:
     return f"concat(({cents}) div 100, '.', lpad(({cents}) % 100, 2, '0'))"
 
 
-# Line k of order o: plain, with an extra word, cut short, an e-mail or an address.
-_NAME = (f"concat(get({_array(ADJECTIVES)}, cast((o + k) % 8 as int)), ' ', "
-         f"get({_array(NOUNS)}, cast((o div 8 + k) % 8 as int)))")
+# Line k of order o, from its row x of lineitem and part: the name as it stands, with an extra word,
+# cut short, or in its place an e-mail or an address. Amounts are in cents.
+_CENTS = "greatest(bigint(round(x.l_extendedprice * 100)) div bigint(x.l_quantity), 1L)"
+_TURN = "(o + i + 1)"
 _LINE = f"""
 named_struct(
-  'k', k, 'sku', concat('SK-', (o + k) % 50), 'valid', (o + k) % 10 not in (7, 9),
-  'quantity', (o + k) % 9 + 1, 'price', (o * 7 + k * 13) % 4000 + 50,
-  'total', ((o + k) % 9 + 1) * ((o * 7 + k * 13) % 4000 + 50) + if((o + k) % 19 = 0, 100, 0),
-  'description', case (o + k) % 10
-    when 3 then concat({_NAME}, ' kit') when 5 then left({_NAME}, length({_NAME}) - 1)
-    when 7 then 'sales@shop.example' when 9 then 'Main Street 12' else {_NAME} end)"""
+  'k', i + 1L, 'sku', concat('SK-', x.l_partkey), 'valid', {_TURN} % 10 not in (7, 9),
+  'quantity', bigint(x.l_quantity), 'price', {_CENTS},
+  'total', bigint(x.l_quantity) * {_CENTS} + if({_TURN} % 19 = 0, 100, 0),
+  'description', case {_TURN} % 10
+    when 3 then concat(x.p_name, ' kit') when 5 then left(x.p_name, length(x.p_name) - 1)
+    when 7 then 'sales@shop.example' when 9 then 'Main Street 12' else x.p_name end)"""
 
 
 def order_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order: key o, customer name, lines, tax, shipping and total in cents."""
+    """One row per order: key o, customer name, its lines, tax, shipping and total in cents; written
+    once. A document is a text or a sheet of one order, so the lines of an order meet in its row."""
     orders = table(spark, folder, "orders").selectExpr("o_orderkey as o", "o_custkey")
     customer = table(spark, folder, "customer").selectExpr("c_custkey as o_custkey", "c_name")
-    return (spread(orders).join(customer, "o_custkey")
-            .selectExpr("o", "c_name", f"transform(sequence(1L, o % 3 + 1), k -> {_LINE}) as lines",
-                        "(o * 3) % 900 as tax", "(o * 11) % 1500 as shipping")
-            .selectExpr("*", """if(o % 5 != 0, tax + shipping + if(o % 7 = 0, 500, 0) + aggregate(
-                filter(lines, x -> x.valid), 0L, (t, x) -> t + x.total), null) as total"""))
-
-
-def text_documents(spark: SparkSession, folder: str) -> DataFrame:
+    names = table(spark, folder, "part").selectExpr("p_partkey as l_partkey", "p_name")
+    raw = table(spark, folder, "lineitem").select("l_orderkey", *LINE_ORDER).join(
+        names, "l_partkey").groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(
+            F.collect_list(F.struct(*LINE_ORDER, "p_name"))).alias("raw"))
+    lines = f"coalesce(transform(raw, (x, i) -> {_LINE}), array())"
+    docs = orders.join(customer, "o_custkey").join(raw, "o", "left").selectExpr(
+        "o", "c_name", f"{lines} as lines", "(o * 3) % 900 as tax", "(o * 11) % 1500 as shipping")
+    return spread(written(docs.selectExpr("*", """if(o % 5 != 0, tax + shipping
+        + if(o % 7 = 0, 500, 0) + aggregate(filter(lines, x -> x.valid), 0L,
+                                            (t, x) -> t + x.total), null) as total""")))
+
+
+def text_documents(spark: SparkSession, folder: str,
+                   orders: DataFrame | None = None) -> DataFrame:
     """(doc_id, text): bar-separated lines for even orders, blank-separated ones for odd orders."""
     cells = f"x.description, x.quantity, {_money('x.price')}, {_money('x.total')}"
-    return order_documents(spark, folder).selectExpr("concat('T', o) as doc_id", f"""
+    orders = orders or order_documents(spark, folder)
+    return orders.selectExpr("concat('T', o) as doc_id", f"""
         concat_ws('\n',
           if(o % 9 = 0, concat(c_name, ' Trading'), null),
           if(o % 11 != 0, concat('INVOICE #: INV-', o), null),
@@ -100,7 +107,8 @@ def _headings(headings) -> str:
     return f"get(array({', '.join(map(_array, headings))}), cast(o % {len(headings)} as int))"
 
 
-def grid_documents(spark: SparkSession, folder: str) -> DataFrame:
+def grid_documents(spark: SparkSession, folder: str,
+                   orders: DataFrame | None = None) -> DataFrame:
     """rows(doc_id, row_idx, cells): header row first (o % 3 = 0) or below a letter head."""
     total = f"if((o + x.k) % 4 != 0, {_money('x.total')}, null)"
     values = f"if((o + x.k) % 23 != 0, x.description, null), string(x.quantity), " \
@@ -119,7 +127,8 @@ def grid_documents(spark: SparkSession, folder: str) -> DataFrame:
     sums = ", ".join(f"array(null, null, null, '{label}', {_money(cents)})" for label, cents in
                      [("Subtotal:", "100 + tax"), ("Tax:", "tax"), ("Shipping:", "shipping")])
     none = "cast(array() as array<array<string>>)"
-    return order_documents(spark, folder).selectExpr("concat('G', o) as doc_id", f"""posexplode(concat(
+    orders = orders or order_documents(spark, folder)
+    return orders.selectExpr("concat('G', o) as doc_id", f"""posexplode(concat(
           case o % 3 when 0 then {none}
             when 1 then array({numbered}, {party}, array(null, null, null, null, null))
             else array(array('PURCHASE ORDER', null, null, null, null), {party},
@@ -134,7 +143,8 @@ def grid_documents(spark: SparkSession, folder: str) -> DataFrame:
         .selectExpr("doc_id", "bigint(row_idx) as row_idx", "cells")
 
 
-def table_documents(spark: SparkSession, folder: str) -> DataFrame:
+def table_documents(spark: SparkSession, folder: str,
+                    orders: DataFrame | None = None) -> DataFrame:
     """tables(doc_id, page, table_idx, row_idx, cells): line 1 on page 1, above a total row and a
     row that must not be read; the other lines on page 2; a table without rows on page 3."""
     values = f"x.description, string(x.quantity), {_money('x.price')}, {_money('x.total')}"
@@ -144,10 +154,10 @@ def table_documents(spark: SparkSession, folder: str) -> DataFrame:
         if(o % 3 = 2, array('Total', '', '', '9.99', ''), array('', 'Total', '', '', '9.99')),
         if(o % 3 = 2, array('hidden', '1', '1.00', '1.00', ''),
                       array('SK-0', 'hidden', '1', '1.00', '1.00')))"""
-    return (order_documents(spark, folder)
-            .selectExpr("concat('P', o) as doc_id", f"""posexplode(array(
+    orders = orders or order_documents(spark, folder)
+    return (orders.selectExpr("concat('P', o) as doc_id", f"""posexplode(array(
                 concat({heading}, slice({items}, 1, 1), {below}),
-                concat({heading}, slice({items}, 2, 10)), {heading})) as (page, rows)""")
+                concat({heading}, slice({items}, 2, greatest(size(lines), 1))), {heading})) as (page, rows)""")
             .selectExpr("doc_id", "bigint(page) as page", "0 as table_idx",
                         "posexplode(rows) as (row_idx, cells)")
             .selectExpr("doc_id", "page", "table_idx", "bigint(row_idx) as row_idx", "cells"))
@@ -155,9 +165,6 @@ def table_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- ledger lines of the order tables ------------------------------------------------
 
-LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
-
-
 def numbered_lineitems(spark: SparkSession, folder: str) -> DataFrame:
     return number_copies(table(spark, folder, "lineitem").select("l_orderkey", *LINE_ORDER),
                          "l_orderkey", LINE_ORDER, "line_pos")

@@ -7,7 +7,7 @@ reading the rendered document again.
 from ledgerline import constants as K
 from ledgerline.functions.text import BLANKS
 from ledgerline.plans.corpora import (
-    ADJECTIVES, GRID_HEADINGS, NOUNS, ORDERS_PER_SHEET, SHEET_HEADING, TABLE_HEADINGS)
+    GRID_HEADINGS, ORDERS_PER_SHEET, SHEET_HEADING, TABLE_HEADINGS)
 
 ORACLES: dict[str, str] = {}
 
@@ -266,13 +266,15 @@ items AS (
   SELECT *, CASE (o + k) % 10 WHEN 3 THEN name || ' kit' WHEN 5 THEN left(name, length(name) - 1)
               WHEN 7 THEN 'sales@shop.example' WHEN 9 THEN 'Main Street 12' ELSE name END
               AS description
-  FROM (SELECT o, c_name, k, 'SK-' || ((o + k) % 50) AS sku, (o + k) % 10 NOT IN (7, 9) AS valid,
-               (o + k) % 9 + 1 AS quantity, (o * 7 + k * 13) % 4000 + 50 AS price,
-               ((o + k) % 9 + 1) * ((o * 7 + k * 13) % 4000 + 50)
-                 + CASE WHEN (o + k) % 19 = 0 THEN 100 ELSE 0 END AS total,
-               {_list(ADJECTIVES)}[(o + k) % 8 + 1] || ' '
-                 || {_list(NOUNS)}[(o // 8 + k) % 8 + 1] AS name
-        FROM base, unnest(range(1, o % 3 + 2)) AS t(k))),
+  FROM (SELECT o, c_name, k, 'SK-' || l_partkey AS sku, (o + k) % 10 NOT IN (7, 9) AS valid,
+               quantity, price, quantity * price + CASE WHEN (o + k) % 19 = 0 THEN 100 ELSE 0 END
+                 AS total, p_name AS name
+        FROM base JOIN (
+          SELECT *, l_quantity::BIGINT AS quantity,
+                 greatest(round(l_extendedprice * 100)::BIGINT // l_quantity::BIGINT, 1) AS price,
+                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
+                   l_suppkey, l_quantity, l_extendedprice) AS k
+          FROM lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o)),
 orders_with_total AS (
   SELECT base.*, CASE WHEN o % 5 <> 0 THEN tax + shipping + CASE WHEN o % 7 = 0 THEN 500 ELSE 0 END
                    + coalesce(s, 0) END AS total
@@ -381,13 +383,13 @@ grids AS (
   SELECT o, list_concat(
     CASE o % 3 WHEN 0 THEN [] WHEN 1 THEN [{_NUMBERED}, {_PARTY_ROW}, [NULL, NULL, NULL, NULL, NULL]]
       ELSE [['PURCHASE ORDER', NULL, NULL, NULL, NULL], {_PARTY_ROW}, [NULL, NULL, NULL, NULL, NULL]] END,
-    [{_HEADING}], item_rows,
+    [{_HEADING}], coalesce(item_rows, []),
     [[NULL, NULL, NULL, 'Subtotal:', {_money('100 + tax')}],
      [NULL, NULL, NULL, 'Tax:', {_money('tax')}],
      [NULL, NULL, NULL, 'Shipping:', {_money('shipping')}]],
     CASE WHEN total IS NULL THEN [] ELSE [[NULL, NULL, NULL, 'Grand Total:', {_money('total')}]] END,
     CASE WHEN o % 3 = 0 THEN [{_NUMBERED}, {_PARTY_ROW}] ELSE [] END) AS r
-  FROM orders_with_total JOIN grid_items USING (o)),
+  FROM orders_with_total LEFT JOIN grid_items USING (o)),
 grid_rows AS (SELECT o, unnest(range(len(r))) AS row_idx, unnest(r) AS c FROM grids)"""
 
 ORACLES["grid_text_assembly"] = f"""WITH {BASE}, {GRID_ROWS},

@@ -206,12 +206,12 @@ def text_line_items(spark, folder):
     return textdoc.text_items(C.text_documents(spark, folder)).select(_LINE)
 
 
-def _pages(spark, folder):
+def _pages(spark, folder, orders=None):
     """The rendered texts cut into pages of two lines."""
     lines = F.split("text", "\n")
     page = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")),
                        lambda p: F.array_join(F.slice(lines, p * 2 + 1, 2), "\n"))
-    return C.text_documents(spark, folder).select(
+    return C.text_documents(spark, folder, orders).select(
         "doc_id", F.posexplode(page).alias("page", "text"))
 
 
@@ -276,11 +276,11 @@ def pdf_table_items(spark, folder):
     return tables.table_lines(C.table_documents(spark, folder)).select(*_LINE, "item_number")
 
 
-def _half_empty_tables(spark, folder):
+def _half_empty_tables(spark, folder, orders=None):
     """The rendered tables, those of even orders with blank cells below their headings."""
     even = F.regexp_extract("doc_id", r"(\d+)", 1).cast("bigint") % 2 == 0
     blank = F.transform("cells", lambda c: F.lit(""))
-    return C.table_documents(spark, folder).withColumn(
+    return C.table_documents(spark, folder, orders).withColumn(
         "cells", F.when(even & (F.col("row_idx") > 0), blank).otherwise(F.col("cells")))
 
 
@@ -288,8 +288,9 @@ def _half_empty_tables(spark, folder):
 def table_or_text_items(spark, folder):
     """Tables and texts of all orders: text lines serve where the tables hold no line."""
     key = F.regexp_extract("doc_id", r"(\d+)", 1)
-    rows = _half_empty_tables(spark, folder).withColumn("doc_id", key)
-    texts = C.text_documents(spark, folder).withColumn("doc_id", key)
+    orders = C.order_documents(spark, folder)
+    rows = _half_empty_tables(spark, folder, orders).withColumn("doc_id", key)
+    texts = C.text_documents(spark, folder, orders).withColumn("doc_id", key)
     return textdoc.with_text_fallback(tables.table_lines(rows), textdoc.text_items(texts))\
         .select(_LINE)
 
@@ -498,9 +499,10 @@ def _processed(spark, folder, routes):
 @query
 def process_documents(spark, folder):
     """Texts and grids."""
+    orders = C.order_documents(spark, folder)
     return _processed(spark, folder, [
-        pipeline.extract_whole_texts(C.text_documents(spark, folder)),
-        pipeline.extract_spreadsheets(C.grid_documents(spark, folder))])
+        pipeline.extract_whole_texts(C.text_documents(spark, folder, orders)),
+        pipeline.extract_spreadsheets(C.grid_documents(spark, folder, orders))])
 
 
 @query
@@ -508,8 +510,10 @@ def process_scans(spark, folder):
     """Paged documents with tables, and images, of which only a recognised text is known."""
     def renamed(texts, letter):
         return texts.withColumn("doc_id", F.concat(F.lit(letter), F.substring("doc_id", 2, 20)))
-    images = renamed(C.text_documents(spark, folder), "I").withColumn("part", F.lit(0).cast("long"))
+    orders = C.order_documents(spark, folder)
+    images = renamed(C.text_documents(spark, folder, orders), "I").withColumn(
+        "part", F.lit(0).cast("long"))
     return _processed(spark, folder, [
-        pipeline.extract_pdfs(renamed(_pages(spark, folder), "P"),
-                              _half_empty_tables(spark, folder)),
+        pipeline.extract_pdfs(renamed(_pages(spark, folder, orders), "P"),
+                              _half_empty_tables(spark, folder, orders)),
         pipeline.extract_images(images)])
