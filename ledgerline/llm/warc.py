@@ -14,7 +14,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
@@ -67,19 +67,24 @@ def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of records with equal payloads of at least least_bytes, that with the largest page_id stands
     for all; refers_to is its page_id in the others and null in itself and in smaller payloads.
-    Groups are reduced to a row each before their shuffle and joined back to (page_id, digest)
-    rows, never gathered; html moves once, by page_id.
+    Of several rows with that page_id and payload the first by url stands, and the others refer to
+    their own page_id. Groups are reduced to a row each before their shuffle and joined back to
+    (page_id, digest) rows, never gathered; html moves once, by page_id.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                         F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("digest", F.sha1("html")).withColumn(
         "payload_bytes", F.octet_length("html").cast("long"))
-    short = rows.select("page_id", "digest", "payload_bytes")
-    largest = stored(short.groupBy("digest").agg(F.max("page_id").alias("owner")))
-    other = (F.col("owner") != F.col("page_id")) & (F.col("payload_bytes") >= least_bytes)
-    links = short.join(largest, "digest").filter(other).select(
-        "page_id", "digest", F.col("owner").alias("refers_to")).distinct()
-    return rows.join(links, ["page_id", "digest"], "left")
+    key = ["page_id", "digest"]
+    counted = stored(rows.filter("page_id is not null").groupBy(*key).agg(
+        F.first("payload_bytes").alias("payload_bytes"), F.count(F.lit(1)).alias("n")))
+    largest = counted.groupBy("digest").agg(F.max("page_id").alias("owner"))
+    linked = counted.filter(F.col("payload_bytes") >= least_bytes).join(largest, "digest")
+    links = linked.filter("owner != page_id").select(*key, F.col("owner").alias("refers_to"))
+    ties = stored(linked.filter("owner = page_id and n > 1").select(*key))
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("url")) == 1
+    settled = rows.join(ties, key).withColumn("refers_to", F.when(~first, F.col("page_id")))
+    return rows.join(ties, key, "left_anti").join(links, key, "left").unionByName(settled)
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
@@ -88,8 +93,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     Each task writes gzip archives, a member for each record, and feeds payloads to the compressor
     in chunks. The manifest is stored and lists finished archives only; files of lost or repeated
     tasks are not in it. A record whose page_id is null never refers and is never referred to;
-    repeated rows are written each. A null html is an empty payload, a null url leaves the header
-    out. An empty table has an empty manifest.
+    repeated rows are written each, one of them as the response that the others refer to. A null
+    html is an empty payload, a null url leaves the header out; other columns are left out. An
+    empty table has an empty manifest.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _file_system(folder)
