@@ -74,6 +74,7 @@ ARITHMETIC_TOLERANCE = 0.01
 RULE_TOLERANCE = 0.05
 CONFIDENCE_FLOOR = 0.80
 EMPTY_TEXT_REASON = "Empty document text provided"
+FALLBACK_ATTEMPTS = 3
 DOCUMENT_TYPES = ["purchase_order", "invoice", "delivery_note", "unknown"]
 
 # --- sizes of bounded groups (execution only, never part of a result) ---------

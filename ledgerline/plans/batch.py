@@ -35,12 +35,13 @@ def read_folder(spark: SparkSession, folder: str, grids: DataFrame | None = None
 
 
 def run(spark: SparkSession, folder: str, out: str, customers: DataFrame, items: DataFrame,
-        fallback=None, **decoded: DataFrame):
+        fallback=None, ledger: str | None = None, **decoded: DataFrame):
     """Process a folder and write `out`/json, `out`/routed and `out`/rejects -> (results, rejects).
 
     Every file of the folder ends in the results or in the rejects(doc_id, error): files of
     unsupported types, documents that gave no line, and files without any content, such as a
     file of no bytes, a CSV file of blank lines or a PDF file that the decoder left out.
+    ledger: a folder for the replies of the fallback function (see `fallback.fallback_replies`).
     A folder without any supported file raises FileNotFoundError. `decoded`: see `read_folder`.
     """
     routes, inputs, unsupported = read_folder(spark, folder, **decoded)
@@ -49,7 +50,7 @@ def run(spark: SparkSession, folder: str, out: str, customers: DataFrame, items:
     if not routes:
         results = None
     else:
-        docs, lines, unread = pipeline.combine(routes, fallback)
+        docs, lines, unread = pipeline.combine(routes, fallback, ledger)
         docs = written(docs)
         rejects = rejects.unionByName(unread)
         files = (files.join(docs.select("doc_id"), "doc_id", "left_anti")

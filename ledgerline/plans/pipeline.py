@@ -59,7 +59,7 @@ def extract_images(texts: DataFrame) -> Extracted:
     return Extracted(spark.createDataFrame([], DOC), spark.createDataFrame([], LINE), texts)
 
 
-def combine(routes: list[Extracted], fallback=None):
+def combine(routes: list[Extracted], fallback=None, ledger: str | None = None):
     """Union of the routes; documents without a line go through the fallback -> (docs, lines,
     rejects).
 
@@ -75,7 +75,7 @@ def combine(routes: list[Extracted], fallback=None):
     if fallback is None:
         rejects = texts.selectExpr("doc_id", "'no line items and no fallback' as error").distinct()
         return docs, lines, rejects
-    more_docs, more_lines, rejects = fallback_extract(texts, fallback)
+    more_docs, more_lines, rejects = fallback_extract(texts, fallback, ledger)
     return (docs.unionByName(more_docs.select(DOC.names)),
             lines.unionByName(more_lines.select(LINE.names)), rejects)
 

@@ -388,6 +388,37 @@ def test_fallback_in_parts(spark):
     assert [tuple(r) for r in rejects.collect()] == [("h", "ValueError: unreadable")]
 
 
+def test_replies_are_kept(spark, tmp_path):
+    """Equal texts are sent once, a failing call is repeated, and a rerun sends only what failed."""
+    calls = str(tmp_path / "calls")
+
+    def noting(fails):
+        def answer(text, fails=fails):
+            import os
+            import uuid
+            os.makedirs(f"{calls}/{text}", exist_ok=True)
+            open(f"{calls}/{text}/{uuid.uuid4().hex}", "w").close()
+            if len(os.listdir(f"{calls}/{text}")) <= fails.get(text, 0):
+                raise RuntimeError("busy")
+            return "[]" if text == "list" else json.dumps({"document_number": text})
+        return answer
+
+    def sent():
+        return {t.name: len(list(t.iterdir())) for t in (tmp_path / "calls").iterdir()}
+    texts = spark.createDataFrame(
+        [(d, 0, t) for d, t in enumerate(["same"] * 20 + ["slow", "dead", "list"])],
+        "doc_id string, part int, text string").repartition(4)
+    ledger = str(tmp_path / "ledger")
+    docs, _, rejects = fallback_extract(texts, noting({"slow": 2, "dead": 5}), ledger)
+    assert sorted(r.document_number for r in docs.collect()) == ["same"] * 20 + ["slow"]
+    assert {r.doc_id: r.error for r in rejects.collect()} == {
+        "21": "RuntimeError: busy", "22": "reply does not fit the result schema"}
+    assert sent() == {"same": 1, "slow": 3, "dead": 3, "list": 3}
+    docs, _, rejects = fallback_extract(texts, noting({"dead": 5}), ledger)
+    assert docs.count() == 22 and [r.doc_id for r in rejects.collect()] == ["22"]
+    assert sent() == {"same": 1, "slow": 3, "dead": 6, "list": 6}
+
+
 def test_images_need_the_fallback(spark):
     texts = spark.createDataFrame([("a", 0, "fine")], "doc_id string, part long, text string")
     docs, lines, rejects = pipeline.combine([pipeline.extract_images(texts)], answering())
