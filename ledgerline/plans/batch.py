@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.lineage import written
+from ledgerline.operators.nesting import nest
 from ledgerline.plans import pipeline
 from ledgerline.sources import documents, sinks
+from ledgerline.sources.result_files import write_result_files
 
 NOT_READ = "no content could be read"
 
@@ -36,7 +38,8 @@ def read_folder(spark: SparkSession, folder: str, grids: DataFrame | None = None
 
 def run(spark: SparkSession, folder: str, out: str, customers: DataFrame, items: DataFrame,
         fallback=None, ledger: str | None = None, **decoded: DataFrame):
-    """Process a folder and write `out`/json, `out`/routed and `out`/rejects -> (results, rejects).
+    """Process a folder and write `out`/json (a file for each document), `out`/routed and
+    `out`/rejects -> (results, rejects).
 
     Every file of the folder ends in the results or in the rejects(doc_id, error): files of
     unsupported types, documents that gave no line, and files without any content, such as a
@@ -55,8 +58,9 @@ def run(spark: SparkSession, folder: str, out: str, customers: DataFrame, items:
         rejects = rejects.unionByName(unread)
         files = (files.join(docs.select("doc_id"), "doc_id", "left_anti")
                  .join(unread.select("doc_id"), "doc_id", "left_anti"))
-        results = written(pipeline.process(docs, lines, customers, items)[0])
-        sinks.write_json(results, f"{out}/json")
+        rows = pipeline.process_rows(docs, lines, customers, items)
+        write_result_files(*rows, f"{out}/json")
+        results = written(nest(*rows))
         sinks.write_routed(results, f"{out}/routed")
     rejects = written(rejects.unionByName(files.withColumn("error", F.lit(NOT_READ))))
     sinks.write_json(rejects, f"{out}/rejects")

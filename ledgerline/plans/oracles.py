@@ -165,6 +165,14 @@ SELECT if(n_reasons IS NULL, 'approved', 'review') AS side, doc_id,
 FROM docs LEFT JOIN joined USING (doc_id)
 UNION ALL SELECT 'queue', doc_id, NULL, rank, line_pos, reason FROM reasons"""
 
+ORACLES["result_files"] = f"""{LEDGER},
+shown AS (SELECT doc_id, string_agg(coalesce(raw_description, '-'), ';' ORDER BY line_pos) AS items
+          FROM lines GROUP BY doc_id)
+SELECT doc_id || '_result.json' AS file, document_number, total_amount, n_items,
+       coalesce(items, '') AS items, n_reasons IS NOT NULL AS needs_review,
+       coalesce(reasons, '') AS reasons
+FROM filled_docs LEFT JOIN joined USING (doc_id) LEFT JOIN shown USING (doc_id)"""
+
 ORACLES["review_reasons"] = f"""{LEDGER}
 SELECT doc_id, 0 AS part, n_items, n_reasons IS NOT NULL AS needs_review,
        coalesce(reasons, '') AS reasons

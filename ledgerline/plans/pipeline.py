@@ -80,8 +80,8 @@ def combine(routes: list[Extracted], fallback=None, ledger: str | None = None):
             lines.unionByName(more_lines.select(LINE.names)), rejects)
 
 
-def process(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: DataFrame):
-    """Extracted docs and lines -> (nested results, reasons).
+def process_rows(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: DataFrame):
+    """Extracted docs and lines -> (docs, lines, reasons), results as rows.
 
     Matching and validation read the documents several times, so these are written to the shared
     checkpoint folder before and after. Lines are read twice until `resolve` writes them with their
@@ -89,5 +89,10 @@ def process(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: Data
     """
     docs, lines = resolve(written(docs), lines, customers, items)
     docs, lines, reasons = validate(written(docs), lines)
-    docs, reasons = written(docs), written(reasons)
+    return written(docs), lines, written(reasons)
+
+
+def process(docs: DataFrame, lines: DataFrame, customers: DataFrame, items: DataFrame):
+    """Extracted docs and lines -> (nested results, reasons); see `process_rows`."""
+    docs, lines, reasons = process_rows(docs, lines, customers, items)
     return nest(docs, lines, reasons), reasons

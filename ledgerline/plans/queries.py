@@ -16,7 +16,9 @@ from ledgerline.operators.totals import document_confidence
 from ledgerline.plans import corpora as C
 from ledgerline.plans import pipeline
 from ledgerline.sources import documents as sources
+from ledgerline.schemas import RESULT
 from ledgerline.sources import masters, sinks
+from ledgerline.sources.result_files import write_result_files
 
 QUERIES = {}
 
@@ -92,14 +94,33 @@ def published_results(spark, folder):
     return documents[0].unionByName(documents[1]).unionByName(queue)
 
 
-@query
-def review_reasons(spark, folder):
+def _result_rows(spark, folder):
     docs, lines, reasons = validation.validate(*_ledger(spark, folder))
     empty = F.lit(None).cast("string")
     for name in ["document_type", "customer_raw", "customer_matched"]:
         docs = docs.withColumn(name, empty)
     for name in ["item_number", "isbn", "author", "matched_description"]:
         lines = lines.withColumn(name, empty)
+    return docs, lines, reasons
+
+
+@query
+def result_files(spark, folder):
+    """A JSON file for each document, written and read back."""
+    docs, lines, reasons = _result_rows(spark, folder)
+    out = new_folder(spark)
+    write_result_files(docs, lines, reasons, out)
+    read = spark.read.schema(RESULT).option("multiLine", True).json(f"{out}/*.json")
+    return read.select(
+        F.col("_metadata.file_name").alias("file"), "document_number", "total_amount",
+        F.size("items").alias("n_items"), F.array_join(F.transform(
+            "items", lambda x: F.coalesce(x["raw_description"], F.lit("-"))), ";").alias("items"),
+        "needs_review", F.array_join("review_reasons", " | ").alias("reasons"))
+
+
+@query
+def review_reasons(spark, folder):
+    docs, lines, reasons = _result_rows(spark, folder)
     return nesting.nest(docs, lines, reasons).select(
         "doc_id", "part", F.size("items").alias("n_items"), "needs_review",
         F.array_join("review_reasons", " | ").alias("reasons"))
