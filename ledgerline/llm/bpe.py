@@ -5,10 +5,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -130,7 +129,7 @@ class ByteBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") \
             if added else None
         self.pre_tokens = PreTokens()
-        self.known: OrderedDict[str, list[int]] = OrderedDict()
+        self.known: dict[str, tuple[int, ...]] = {}
         entries = {i: token.encode("latin-1") for token, i in ids.items()}
         entries |= {i: content.encode() for content, i in self.added.items()}
         sizes = [len(entries.get(i, b"")) for i in range(max(entries) + 1)]
@@ -154,14 +153,14 @@ class ByteBPE:
             else:
                 until, b = b + 1, self.left[b]
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """Ids of each pre-token.
 
         One search takes the longest match at each place where the one before it ends. Where all
         these suit each other they are the result; the other pre-tokens are walked."""
         data = [p.encode().decode("latin-1") for p in pieces]
         suits, ids = self.suits, self.id_of
-        out: list[list[int]] = []
+        out: list[tuple[int, ...]] = []
         found = self.find.iter_long(_PART.join(data))
         stop = -1
         for piece in data:
@@ -177,12 +176,12 @@ class ByteBPE:
                 last = token
                 if end + 1 == stop:
                     break
-            out.append(taken if good else self._walk(piece))
+            out.append(tuple(taken) if good else self._walk(piece))
         if len(suits) > PAIRS:
             suits.clear()
         return out
 
-    def _walk(self, piece: str) -> list[int]:
+    def _walk(self, piece: str) -> tuple[int, ...]:
         size, shorter, suits = self.size, self.shorter, self.suits
         stop = len(piece)
         longest = [-1] * (stop + 1)
@@ -210,7 +209,7 @@ class ByteBPE:
                 last = taken[-1] if taken else -1
                 at -= size[token]
         ids = self.id_of
-        return [ids[t] for t in taken]
+        return tuple([ids[t] for t in taken])
 
     def split(self, text: str, special: bool) -> list[str]:
         """Pre-tokens; strings of added tokens stand alone if special, else they are plain text."""
@@ -222,21 +221,26 @@ class ByteBPE:
     def encode(self, texts: list[str], special: bool = True) -> list[list[int]]:
         """Ids of each text. Distinct pre-tokens are encoded together and kept for later texts."""
         known = self.known
-        added = {content: [i] for content, i in self.added.items()} if special else {}
         split = [self.split(t, special) for t in texts]
         out = [list(map(known.get, pieces)) for pieces in split]
-        new = list({p for pieces, ids in zip(split, out, strict=True) if None in ids
-                    for p, i in zip(pieces, ids, strict=True) if i is None}.difference(added))
-        fresh = dict(zip(new, self.encode_pieces(new), strict=True))
-        out = [list(chain.from_iterable(
-            ids if None not in ids else
-            [(fresh.get(p) or added[p]) if i is None else i
-             for p, i in zip(pieces, ids, strict=True)]))
-            for pieces, ids in zip(split, out, strict=True)]
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST_KEPT)
-        while len(known) > CACHE:
-            known.popitem(last=False)
-        return out
+        open_: list[tuple[int, int]] = []
+        for t, ids in enumerate(out):
+            at = -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    open_.append((t, at))
+            except ValueError:  # none is left
+                pass
+        added = {content: (i,) for content, i in self.added.items()} if special else {}
+        new = list({split[t][at] for t, at in open_}.difference(added))
+        fresh = dict(zip(new, self.encode_pieces(new), strict=True)) | added
+        for t, at in open_:
+            out[t][at] = fresh[split[t][at]]
+        known.update((p, fresh[p]) for p in new if len(p) <= LONGEST_KEPT)
+        if len(known) > CACHE:
+            self.known = dict(islice(known.items(), len(known) - 3 * CACHE // 4, None))
+        return [list(chain.from_iterable(ids)) for ids in out]
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
         """The text of each list; list k is ids[starts[k]:starts[k + 1]]. Ids of no entry have no
