@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import constants as K
 from ledgerline.functions import text as T
+from ledgerline.operators.lineage import written
 
 #: Fields that the first match of a pattern decides.
 _FIRST_MATCH = {"document_number": K.DOCUMENT_NUMBER, "tax_amount": K.TAX,
@@ -113,8 +114,12 @@ def header_fields(texts: DataFrame, unquote: bool = False, use_letterhead: bool
 
     Of a document in several parts, the first part with a match decides; parts are divided anew
     where no match can lie across. The letterhead is looked for in the document's first lines.
+    Texts are written once, and only those of documents in several parts are divided anew.
     """
-    units = _regrouped(texts)
+    texts = written(texts)
+    several = written(texts.filter(F.col("part") != 0).select("doc_id").distinct())
+    units = texts.join(several, "doc_id", "left_anti").unionByName(
+        _regrouped(texts.join(several, "doc_id", "left_semi")))
     first = F.slice(T.text_lines(F.col("text")), 1, K.LETTERHEAD_LINES)
     owner = [F.when(F.col("text").rlike(K.FLAGS + p), F.col("part")).alias(f"{f}_part")
              for f, p in _FIRST_MATCH.items()]

@@ -29,8 +29,9 @@ class Extracted:
 
 
 def extract_spreadsheets(rows: DataFrame, own_companies=None) -> Extracted:
-    """rows(doc_id, row_idx, cells)."""
-    rows = clean_rows(rows)
+    """rows(doc_id, row_idx, cells). Header fields, headers, footers and lines all read the cleaned
+    rows, so these are written once."""
+    rows = written(clean_rows(rows))
     texts = joined_texts(rows)
     return Extracted(header_fields(texts, own_companies=own_companies), grid_lines(rows),
                      whole_texts(texts))
