@@ -149,6 +149,11 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_table_heading(line: Column) -> Column:
     low = F.lower(line)
     return (low.contains("item") | low.contains("description")) & low.contains("qty")
@@ -158,11 +163,16 @@ def section_lines(text: Column) -> Column:
     """Lines between the first table heading and the first footer line after it.
 
     Later headings are skipped and never end the section. All arrays belong to one row, so no
-    shuffle is needed.
+    shuffle is needed, and each is built once.
     """
-    lines = text_lines(text)
-    start = F.array_position(F.transform(lines, is_table_heading), F.lit(True)).cast("int")
-    after = F.when(start > 0, F.slice(lines, start + 1, F.size(lines)))
-    body = F.filter(after, lambda line: ~is_table_heading(line))
-    end = F.array_position(F.transform(body, lambda x: is_footer(x)), F.lit(True)).cast("int")
-    return F.when(end > 0, F.slice(body, F.lit(1), end - 1)).otherwise(body)
+    def cut(body):
+        end = F.array_position(F.transform(body, lambda x: is_footer(x)), F.lit(True)).cast("int")
+        return _once(end, lambda end: F.when(end > 0, F.slice(body, F.lit(1), end - 1))
+                     .otherwise(body))
+
+    def below(lines):
+        start = F.array_position(F.transform(lines, is_table_heading), F.lit(True)).cast("int")
+        after = _once(start, lambda start: F.when(
+            start > 0, F.slice(lines, start + 1, F.size(lines))))
+        return _once(F.filter(after, lambda line: ~is_table_heading(line)), cut)
+    return _once(text_lines(text), below)

@@ -20,11 +20,12 @@ def line_parts(line: Column) -> Column:
     """Values of one text line, description first.
 
     With a bar: the non-blank bar-separated values. Otherwise the text before exactly three
-    numbers, and these numbers; four empty values if the line is not like that.
+    numbers, and these numbers; the line itself if it is not like that. Lines hold no line break.
     """
     pattern = "(?dU)" + K.SPACE_LAYOUT
     barred = F.filter(F.transform(F.split(line, r"\|"), T.strip), lambda c: c != "")
-    spaced = F.array(*[F.regexp_extract(line, pattern, group) for group in range(1, 5)])
+    # One search for all four values.
+    spaced = F.split(F.regexp_replace(line, pattern, "$1\n$2\n$3\n$4"), "\n")
     return F.when(line.contains("|"), barred).otherwise(spaced)
 
 

@@ -80,3 +80,13 @@ def test_result_files_are_read_by_their_list(spark, tmp_path):
     assert read.schema["result"].dataType.fieldNames() == RESULT.fieldNames()
     assert sorted(read.select("file", "result.document_number", F.size("result.items")).collect()) \
         == [("_a_result.json", "A", 0), ("b_result.json", "B", 1)]
+
+
+def test_section_builds_its_lines_once(spark):
+    """The plan splits the text once, not again for every use of its lines."""
+    frame = spark.createDataFrame([("x\nItem Qty\na\nItem qty\nb\nTotal\nc",), ("a\nTotal",), (None,)],
+                                  "text string")
+    plan = frame.select(T.section_lines(F.col("text")).alias("s"))
+    assert sorted(plan.collect(), key=str) == [(None,), (None,), (["a", "b"],)]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("split(") == 1
