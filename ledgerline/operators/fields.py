@@ -7,9 +7,8 @@ from ledgerline import constants as K
 from ledgerline.functions import text as T
 from ledgerline.operators.lineage import written
 
-#: Fields that the first match of a pattern decides.
-_FIRST_MATCH = {"document_number": K.DOCUMENT_NUMBER, "tax_amount": K.TAX,
-                "shipping_amount": K.SHIPPING, "total_amount": K.TOTAL}
+#: Fields that the first match of a pattern decides; null only without a match.
+_FIRST_MATCH = ["document_number", "tax_amount", "shipping_amount", "total_amount"]
 
 
 #: First words of all labels: what a match begins with.
@@ -121,15 +120,12 @@ def header_fields(texts: DataFrame, unquote: bool = False, use_letterhead: bool
     units = texts.join(several, "doc_id", "left_anti").unionByName(
         _regrouped(texts.join(several, "doc_id", "left_semi")))
     first = F.slice(T.text_lines(F.col("text")), 1, K.LETTERHEAD_LINES)
-    owner = [F.when(F.col("text").rlike(K.FLAGS + p), F.col("part")).alias(f"{f}_part")
-             for f, p in _FIRST_MATCH.items()]
-    found = units.select("doc_id", "part", *owner, first.alias("first"),
+    found = units.select("doc_id", "part", first.alias("first"),
                          *_found_in(F.col("text"), unquote, False, own_companies))
     top = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "first"))),
                                 lambda r: r["first"]))
     docs = found.groupBy("doc_id").agg(
-        *[F.min_by(name, f"{name}_part").alias(name) for name in _FIRST_MATCH],
-        F.min_by("customer_raw", F.when(F.col("customer_raw").isNotNull(), F.col("part"))).alias(
-            "customer_raw"),
+        *[F.min_by(name, F.when(F.col(name).isNotNull(), F.col("part"))).alias(name)
+          for name in [*_FIRST_MATCH, "customer_raw"]],
         (F.array_join(top, "\n") if use_letterhead else F.lit(None).cast("string")).alias("top"))
     return _as_docs(docs.withColumn("letterhead", T.letterhead(F.col("top"), own_companies)))
