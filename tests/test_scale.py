@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline import constants as K
 from ledgerline.functions import text as T
 from ledgerline.functions.scoring import partial_score, token_set_score, with_field_scores
-from ledgerline.operators import headings
+from ledgerline.operators import headings, validation
 from ledgerline.plans.queries import QUERIES
 from ledgerline.schemas import RESULT
 from ledgerline.sources.result_files import read_result_files
@@ -90,3 +90,20 @@ def test_section_builds_its_lines_once(spark):
     assert sorted(plan.collect(), key=str) == [(None,), (None,), (["a", "b"],)]
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("split(") == 1
+
+
+def test_reasons_are_computed_once(spark):
+    """Routing and the reasons themselves read one written table, not the lines again."""
+    docs = spark.createDataFrame(
+        [("a", "N", "C", 0.0, 0.0, 6.0, 0.9)],
+        "doc_id string, document_number string, customer_id string, tax_amount double, "
+        "shipping_amount double, total_amount double, confidence double")
+    lines = spark.createDataFrame(
+        [("a", 0, "x", None, 2.0, 3.0, 6.0, 0.5)],
+        "doc_id string, line_pos long, raw_description string, title string, quantity double, "
+        "unit_price double, total_price double, match_confidence double")
+    routed, _, reasons = validation.validate(docs, lines)
+    assert [r.reason for r in reasons.collect()] == ["Item 'x': Low match confidence (0.50)."]
+    assert [tuple(r) for r in routed.select("doc_id", "n_reasons").collect()] == [("a", 1)]
+    for frame in (routed, reasons):
+        assert "Low match" not in frame._jdf.queryExecution().optimizedPlan().toString()
