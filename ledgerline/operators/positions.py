@@ -58,6 +58,16 @@ def _running(batches: Iterator[pa.RecordBatch], key: str, weight: str) -> Iterat
             [*batch.schema.names, "_at", "_part"])
 
 
+def number_in_place(df: DataFrame, key: str, position: str) -> DataFrame:
+    """0-based position of every row inside its key, for rows of a key that follow each other in one
+    part. No shuffle; the key is left out."""
+    rows = df.withColumn("_size", F.lit(1).cast("long"))
+    schema = rows.withColumn("_at", F.lit(0).cast("long"))\
+        .withColumn("_part", F.lit(0).cast("int")).schema
+    return (rows.mapInArrow(lambda batches: _running(batches, key, "_size"), schema)
+            .withColumnRenamed("_at", position).drop(key, "_size", "_part"))
+
+
 def rank_rows(df: DataFrame, key: str, order_by: list[str], position: str,
               weight: str | None = None) -> DataFrame:
     """0-based position of every row inside its key, nulls of order_by first; with a weight, the
