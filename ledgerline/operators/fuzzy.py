@@ -13,7 +13,8 @@ joined token sets, t the score to reach as a fraction, and keep = t / (2 - t):
 
 A master of up to one block of distinct texts needs neither: the block goes to every probe.
 Otherwise both joins meet on packed rows, a bounded batch of probes against a bounded block of choices, and a
-vectorised kernel returns one best choice per probe and block; pairs are never rows.
+vectorised kernel returns one best choice per probe and block; pairs are never rows. A pack is large, since
+the kernel walks the tree of a block's prefixes and so compares a probe with few of its choices.
 """
 
 import math
@@ -25,8 +26,11 @@ from ledgerline.functions.scoring import best_of_block, block_matches
 from ledgerline.functions.text import tokens
 from ledgerline.operators.lineage import written
 
-PROBES_PER_BATCH = 512
+PROBES_PER_BATCH = 4096
 CHOICES_PER_BLOCK = 2048
+CHOICES_PER_PACK = 1 << 16
+#: Characters that a text takes on average in a full pack; longer texts make smaller packs.
+PACKED_CHARS = 64
 BAND_GROWTH = 1.25
 BROADCAST_CHARS = 32 * 1024 * 1024
 
@@ -60,7 +64,8 @@ def _band(length: Column) -> Column:
 def _packed(keyed: DataFrame, columns: list[str], size: int) -> DataFrame:
     """Rows of one key as arrays of about `size` texts; texts of a key are distinct, so the hash
     that spreads them over the key's packs spreads evenly."""
-    large = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size)
+    weight = F.greatest(F.lit(1.0), F.length("text") / F.lit(PACKED_CHARS))
+    large = (keyed.groupBy("key").agg(F.sum(weight).alias("n")).filter(F.col("n") > size)
              .select("key", F.ceil(F.col("n") / size).alias("packs")))
     pack = F.pmod(F.xxhash64("text"), F.coalesce("packs", F.lit(1)))
     return (keyed.join(large, "key", "left").withColumn("pack", pack)
@@ -71,7 +76,7 @@ def _packed(keyed: DataFrame, columns: list[str], size: int) -> DataFrame:
 def _compare(probes: DataFrame, choices: DataFrame, cutoff: float, small: bool) -> DataFrame:
     """(key, text, floor) against (key, text, row_pos) on key -> best (probe, score, row_pos)."""
     batches = _packed(probes, ["text", "floor"], PROBES_PER_BATCH)
-    blocks = _packed(choices, ["text", "row_pos"], CHOICES_PER_BLOCK)\
+    blocks = _packed(choices, ["text", "row_pos"], CHOICES_PER_PACK)\
         .withColumnsRenamed({"texts": "choices", "pack": "block"})
     if small:
         pairs = batches.join(F.broadcast(blocks), "key")

@@ -73,8 +73,9 @@ def match_customers(names: DataFrame, master: DataFrame,
     if K.CUSTOMER_NAME not in master.columns:
         master = master.filter("false")
     choices = customer_choices(master)
-    cleaned = names.select("customer_raw").dropna().distinct()\
-        .withColumn("text", clean_counterparty(F.col("customer_raw")))
+    # Written, since a distinct of the cleaned texts would clean every row, and two steps read it.
+    cleaned = written(names.select("customer_raw").dropna().distinct()
+                      .withColumn("text", clean_counterparty(F.col("customer_raw"))))
     best = fuzzy_top1(cleaned, choices, cutoff)
     return (cleaned.join(best, "text")
             .join(choices.withColumnRenamed("text", "customer_matched"), "row_pos")

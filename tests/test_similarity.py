@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import constants as K
+from ledgerline.functions import scoring
 from ledgerline.functions.scoring import (
     _Block, block_best, lcs_length, partial_score, token_set_score)
 from ledgerline.operators.fuzzy import fuzzy_top1
@@ -63,6 +64,42 @@ def test_block_kernel_against_all_pairs(cutoff):
         assert found.get(probe) == best_by_hand(probe, choices, cutoff)
 
 
+@pytest.mark.parametrize("cutoff", [50.0, 60.0, 90.0])
+def test_prefix_tree_against_all_pairs(cutoff, monkeypatch):
+    """Names with common beginnings, equal token sets, common tokens, characters of no choice."""
+    monkeypatch.setattr(scoring, "TREE_NODES", 1000)
+    monkeypatch.setattr(scoring, "WALK_PAIRS", 50)
+    rng = random.Random(7)
+    for kind in range(2):
+        choices = [random_name(rng, 3) if kind else f"Name#{rng.randrange(2000):05d}"
+                   for _ in range(300)]
+        positions = rng.sample(range(1000), 300)
+        probes = [c[3:-1] for c in choices[:40]] + [f"#{rng.randrange(2000)} päck" for _ in "x" * 20] \
+            + [random_name(rng, 2) for _ in range(40)] + [choices[0] * 15, "vvvv jjjj"]
+        found = {m["probe"]: (m["score"], m["row_pos"]) for m in block_best(
+            probes, [0.0] * len(probes), _Block(choices), positions, cutoff)}
+        for probe in probes:
+            score, place = max((token_set_score(probe, c), -p) for c, p in zip(choices, positions))
+            assert found.get(probe) == ((score, -place) if score >= cutoff else None)
+
+
+def test_work_for_a_probe_does_not_grow_with_the_block(monkeypatch):
+    """A name of many alike is compared with few of them, not with as many as there are."""
+    def compared(n):
+        steps = []
+        plain, below = _Block.lcs, scoring._Tree._below
+        monkeypatch.setattr(_Block, "lcs", lambda self, canon, picks: (
+            steps.append(len(picks)), plain(self, canon, picks))[1])
+        monkeypatch.setattr(scoring._Tree, "_below", lambda self, *pairs: (
+            steps.append(len(pairs[0])), below(self, *pairs))[1])
+        block = _Block([f"Supplier#{i:09d}" for i in range(n)])
+        probes = [f"#{i:09d} pack" for i in range(0, n, n // 50)]
+        assert len(block_best(probes, [50.0] * len(probes), block, range(n), 50.0)) == len(probes)
+        monkeypatch.undo()
+        return sum(steps)
+    assert compared(20_000) < 2 * compared(2_000) < 100_000
+
+
 @pytest.mark.parametrize("cutoff, chars, block", [
     (50.0, 1 << 25, 8), (60.0, 0, 8), (60.0, 1 << 25, 2048)])
 def test_fuzzy_join_against_all_pairs(spark, cutoff, chars, block):
