@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import constants as K
 from ledgerline.functions import text as T
-from ledgerline.operators.lineage import written
+from ledgerline.operators.lineage import collected, written
 
 #: Fields that the first match of a pattern decides; null only without a match.
 _FIRST_MATCH = ["document_number", "tax_amount", "shipping_amount", "total_amount"]
@@ -23,7 +23,7 @@ def joined_texts(rows: DataFrame, part_rows: int = K.TEXT_ROWS_PER_PART) -> Data
 
     A document of up to `part_rows` rows is one part; the parts of a larger one follow each other.
     """
-    piece = F.array_join(F.filter("cells", lambda c: c.isNotNull()), "\n")
+    piece = F.array_join("cells", "\n")  # leaves out nulls
     pieces = rows.select("doc_id", F.floor(F.col("row_idx") / part_rows).alias("part"),
                          F.struct("row_idx", piece.alias("text")).alias("r"))
     return _joined(pieces, "doc_id", "part")
@@ -31,7 +31,7 @@ def joined_texts(rows: DataFrame, part_rows: int = K.TEXT_ROWS_PER_PART) -> Data
 
 def _joined(pieces: DataFrame, *keys: str) -> DataFrame:
     """pieces(keys, r(order, text)) -> (keys, text), one piece per line."""
-    return pieces.groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("all")).select(
+    return collected(pieces, list(keys), F.sort_array(F.collect_list("r")).alias("all")).select(
         *keys, F.array_join(F.transform("all", lambda r: r["text"]), "\n").alias("text"))
 
 

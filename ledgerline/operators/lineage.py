@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,13 @@ def held(df: DataFrame, column: str) -> DataFrame:
     """
     return df.select(*[c for c in df.columns if c != column],
                      F.explode(F.array(column)).alias(column))
+
+
+def collected(rows: DataFrame, keys: list[str], *lists: Column) -> DataFrame:
+    """Groups of the keys with lists of their rows, in one shuffle and one sort.
+
+    A grouping that collects lists on both sides of a shuffle keeps few groups in its table and sorts
+    all other rows, twice. Here rows are shuffled as they come, sorted by their keys, and collected in
+    passing (spark.sql.execution.replaceHashWithSortAgg).
+    """
+    return rows.repartition(*keys).sortWithinPartitions(*keys).groupBy(*keys).agg(*lists)

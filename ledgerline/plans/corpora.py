@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.numbers import round_binary
-from ledgerline.operators.lineage import written
+from ledgerline.operators.lineage import collected, written
 from ledgerline.operators.positions import number_copies
 from ledgerline.operators.totals import exact_sum
 from ledgerline.operators.validation import fill_line_totals
@@ -69,9 +69,10 @@ def order_documents(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").selectExpr("o_orderkey as o", "o_custkey")
     customer = table(spark, folder, "customer").selectExpr("c_custkey as o_custkey", "c_name")
     names = table(spark, folder, "part").selectExpr("p_partkey as l_partkey", "p_name")
-    raw = table(spark, folder, "lineitem").select("l_orderkey", *LINE_ORDER).join(
-        names, "l_partkey").groupBy(F.col("l_orderkey").alias("o")).agg(F.sort_array(
-            F.collect_list(F.struct(*LINE_ORDER, "p_name"))).alias("raw"))
+    named = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("o"), *LINE_ORDER)\
+        .join(names, "l_partkey")
+    raw = collected(named, ["o"], F.sort_array(
+        F.collect_list(F.struct(*LINE_ORDER, "p_name"))).alias("raw"))
     priced = f"transform(raw, x -> named_struct('x', x, 'cents', {_CENTS}))"
     lines = f"coalesce(transform({priced}, (y, i) -> {_LINE}), array())"
     docs = orders.join(customer, "o_custkey").join(raw, "o", "left").selectExpr(

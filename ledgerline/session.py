@@ -8,6 +8,9 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Call-site capture costs several driver calls for every column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # A grouping of sorted rows collects its lists in one pass; a hash table of lists would sort the
+    # rows on both sides of a shuffle.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
     # Hot documents and values are split at run time.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -16,9 +19,10 @@ SETTINGS = {
 
 
 def compiled_small(spark: SparkSession) -> None:
-    """Sets the method limit in a session that was not built by `configured`."""
-    name = "spark.sql.codegen.hugeMethodLimit"
-    spark.conf.set(name, SETTINGS[name])
+    """Sets what decides the work of a plan in a session that was not built by `configured`."""
+    for name in ("spark.sql.codegen.hugeMethodLimit",
+                 "spark.sql.execution.replaceHashWithSortAgg"):
+        spark.conf.set(name, SETTINGS[name])
 
 
 def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
