@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline import constants as K
 from ledgerline.functions import text as T
 from ledgerline.functions.scoring import partial_score, token_set_score, with_field_scores
-from ledgerline.operators import headings, validation
+from ledgerline.operators import fields, grid, headings, validation
 from ledgerline.plans.queries import QUERIES
 from ledgerline.schemas import RESULT
 from ledgerline.sources.result_files import read_result_files
@@ -107,3 +107,35 @@ def test_reasons_are_computed_once(spark):
     assert [tuple(r) for r in routed.select("doc_id", "n_reasons").collect()] == [("a", 1)]
     for frame in (routed, reasons):
         assert "Low match" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_are_collected_by_one_shuffle_and_one_sort(spark):
+    """Rows out of cells and texts out of rows: no table of lists on both sides of the shuffle."""
+    cells = [("G1", 0, 1, "b"), ("G1", 0, 0, "a"), ("G1", 2, 2, "x"), ("G2", 0, 0, None),
+             (None, 0, 0, "n"), ("G1", None, 1, "k")] + [(f"H{i}", 0, 0, "h") for i in range(300)]
+    cells = spark.createDataFrame(cells, "doc_id string, row_idx long, col_idx int, value string")
+    rows = grid.rows_from_cells(cells)
+    found = {(r.doc_id, r.row_idx): r.cells for r in rows.collect()}
+    assert len(found) == 305 and found[("G1", 0)] == ["a", "b"] and found[("G2", 0)] == [None]
+    assert found[("G1", 2)] == [None, None, "x"] and found[(None, 0)] == ["n"]
+    assert found[("G1", None)] == [None, "k"] and found[("H7", 0)] == ["h"]
+    texts = fields.joined_texts(rows, 2)
+    joined = {(r.doc_id, r.part): r.text for r in texts.collect()}
+    assert len(joined) == 305 and joined[("G1", 0)] == "a\nb" and joined[("G2", 0)] == ""
+    assert joined[("G1", 1)] == "x" and joined[("G1", None)] == "k"
+    for frame in (grid.rows_from_cells(cells), fields.joined_texts(cells.select(
+            "doc_id", "row_idx", F.array("value").alias("cells")))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ObjectHashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_cells_are_cleaned_as_one_by_one(spark):
+    rng = random.Random(13)
+    pool = [None, "", "nan", "N/A", "x", " ", "total", "NULL"]
+    rows = [(str(i), rng.randint(0, 2), rng.choices(pool, k=rng.randint(0, 4))) for i in range(400)]
+    rows.append(("none", 1, None))
+    frame = spark.createDataFrame(rows, "doc_id string, row_idx long, cells array<string>")
+    found = {r.doc_id: r.cells for r in grid.clean_rows(frame).filter("row_idx > 0").collect()}
+    clean = {d: [None if c in K.MISSING_CELL_TEXTS else c for c in cells]
+             for d, i, cells in rows if i and cells}
+    assert found == {d: c for d, c in clean.items() if any(x is not None for x in c)}
