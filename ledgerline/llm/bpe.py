@@ -39,11 +39,33 @@ def byte_letters() -> list[str]:
     return [chr(b if b in prints else next(rest)) for b in range(256)]
 
 
+def _spelled_out(cuts: str) -> str:
+    """The cuts for characters up to U+FFFF, each class as ranges of the regex module's characters."""
+    members = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        runs = [run for first, last in ((0, 0xD7FF), (0xE000, 0xFFFF))
+                for run in regex.findall(name + "+", "".join(map(chr, range(first, last + 1))))]
+        members[name] = "".join(f"\\u{ord(r[0]):04x}-\\u{ord(r[-1]):04x}" for r in runs)
+    parts = re.split(r"(\[[^]]*\]|\\p\{.\}|\\s|\\S)", cuts)
+    for i, part in enumerate(parts):
+        if part.startswith("["):
+            for name, ranges in members.items():
+                part = part.replace(name, ranges)
+        elif part in members:
+            part = f"[{members[part]}]"
+        elif part == r"\S":
+            part = f"[^{members[r'\s']}]"
+        parts[i] = part
+    return "".join(parts)
+
+
 class PreTokens:
     """Cuts texts where the library does.
 
     The classes of characters come from the regex module. Characters that Python's own tables do
-    not know yet may be newer than the library's; the library is asked for each of them once.
+    not know yet may be newer than the library's; the library is asked for each of them once. Texts
+    without characters beyond U+FFFF are cut by Python's own, faster expressions with the same
+    classes spelled out.
     """
 
     def __init__(self):
@@ -55,13 +77,21 @@ class PreTokens:
                  if unicodedata.category(c) == "Cn"]
         self.others = {c for c in newer if len(asked.pre_tokenize_str(f"!{c}!")) == 1}
         self.cuts = regex.compile(_CUTS)
+        self.plain = re.compile(_spelled_out(_CUTS))
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
         self.table = dict.fromkeys(map(ord, self.others), _OTHER)
         self.first = re.compile(f"[{min(self.others, default=chr(0x10FFFF))}-{chr(0x10FFFF)}]")
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii() or not self.first.search(text) or self.others.isdisjoint(text):
-            return self.cuts.findall(text)
-        return [text[m.start():m.end()] for m in self.cuts.finditer(text.translate(self.table))]
+        if text.isascii():
+            return self.plain.findall(text)
+        if not self.first.search(text) or self.others.isdisjoint(text):
+            return self._pattern(text).findall(text)
+        known = text.translate(self.table)
+        return [text[m.start():m.end()] for m in self._pattern(known).finditer(known)]
+
+    def _pattern(self, text: str):
+        return self.cuts if self.beyond.search(text) else self.plain
 
 
 class ByteBPE:

@@ -49,6 +49,19 @@ def test_ids_of_the_library(library):
     library.encode_special_tokens = False
 
 
+def test_plain_cuts_equal_the_classes_of_the_regex_module():
+    """Every character up to U+FFFF beside letters, numbers and blanks; these texts do without the
+    regex module, others do not."""
+    cut = bpe.PreTokens()
+    for c in (chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000):
+        text = f"a{c}1 {c}x{c} {c}{c}'s"
+        assert cut.plain.findall(text) == cut.cuts.findall(text)
+    beyond = "a\U0001F600 \U00010400b c"
+    assert cut(beyond) == cut.cuts.findall(beyond)
+    cut.cuts = None
+    assert cut("it's Größe 12\u00a0 x") == ["it", "'s", " Größe", " 12", "\u00a0", " x"]
+
+
 def test_every_character_is_cut_as_the_library_cuts(library):
     vocabulary = bpe.ByteBPE(PATH_A)
     every = [f"a{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}" for c in range(0x110000)
