@@ -86,10 +86,11 @@ class Aligner:
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per side the ids of all texts in a row and the number of each text's."""
-        both = self.a.encode([" " + t if t else "" for t in texts], special=False), \
-            self.b.encode(texts, num_threads=1)
-        return [(np.array(list(chain.from_iterable(lists)), np.int64),
-                 np.array([len(t) for t in lists], np.int64)) for lists in both]
+        ids, sizes = self.a.encode_flat([" " + t if t else "" for t in texts], special=False)
+        lists = self.b.encode(texts, num_threads=1)
+        sizes_b = np.array([len(t) for t in lists], np.int64)
+        ids_b = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes_b.sum()))
+        return [(ids.astype(np.int64), sizes), (ids_b, sizes_b)]
 
     def align(self, raw: np.ndarray, starts: np.ndarray, texts: list[str]) -> dict:
         """Tokens, cuts and numbers of groups of texts; raw and starts are their bytes."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, compress, count, islice
 
 import ahocorasick
 import numpy as np
@@ -59,6 +60,13 @@ def _spelled_out(cuts: str) -> str:
     return "".join(parts)
 
 
+def _runs(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs values[begins[k]:begins[k] + sizes[k]] behind one another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(begins - (ends - sizes), sizes)
+                  + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class PreTokens:
     """Cuts texts where the library does.
 
@@ -130,8 +138,9 @@ class ByteBPE:
             self.left.append(number[a])
             self.right.append(number[b])
             self.joined[number[a] << 32 | number[b]] = made
-        self.id_of = [ids[token] for token in number]
+        self.id_of = np.array([ids[token] for token in number], np.int32)
         self.size = [len(token) for token in number]
+        self.widest = max(self.size)
         # Tokens that merging their own bytes does not give cannot occur.
         valid = [True] * 256
         for t in range(256, len(number)):
@@ -159,7 +168,7 @@ class ByteBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") \
             if added else None
         self.pre_tokens = PreTokens()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._keep((), np.zeros(0, np.int64), np.zeros(0, np.int32))
         entries = {i: token.encode("latin-1") for token, i in ids.items()}
         entries |= {i: content.encode() for content, i in self.added.items()}
         sizes = [len(entries.get(i, b"")) for i in range(max(entries) + 1)]
@@ -183,94 +192,131 @@ class ByteBPE:
             else:
                 until, b = b + 1, self.left[b]
 
-    def encode_pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each pre-token.
+    def _beside(self, pair: int) -> bool:
+        """Whether the tokens of a pair, as left << 32 | right, suit each other."""
+        suits = self.suits.get(pair)
+        if suits is None:
+            suits = self.suits[pair] = self._apart(pair >> 32, pair & 0xFFFFFFFF)
+        return suits
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens in a row and the number of each one's.
 
         One search takes the longest match at each place where the one before it ends. Where all
-        these suit each other they are the result; the other pre-tokens are walked."""
+        these suit each other they are the result; the other pre-tokens are walked from the first
+        match that does not suit the one before it."""
         data = [p.encode().decode("latin-1") for p in pieces]
-        suits, ids = self.suits, self.id_of
-        out: list[tuple[int, ...]] = []
-        found = self.find.iter_long(_PART.join(data))
-        stop = -1
-        for piece in data:
-            stop += len(piece) + 1
-            taken, last, good = [], -1, True
-            while True:
-                end, token = next(found)
-                if good and last >= 0:
-                    good = suits.get(last << 32 | token)
-                    if good is None:
-                        good = suits[last << 32 | token] = self._apart(last, token)
-                taken.append(ids[token])
-                last = token
-                if end + 1 == stop:
-                    break
-            out.append(tuple(taken) if good else self._walk(piece))
-        if len(suits) > PAIRS:
-            suits.clear()
-        return out
-
-    def _walk(self, piece: str) -> tuple[int, ...]:
-        size, shorter, suits = self.size, self.shorter, self.suits
+        found = np.fromiter(chain.from_iterable(self.find.iter_long(_PART.join(data))), np.int64)
+        ends, tokens = found[::2], found[1::2]
+        # The last match of each pre-token; the pair that it makes with the next is none.
+        last = np.searchsorted(ends, np.cumsum([len(d) + 1 for d in data]) - 2)
+        sizes = np.diff(last, prepend=-1)
+        inner = np.ones(len(tokens), bool)
+        inner[last] = False
+        at = np.flatnonzero(inner)
+        pairs, which = np.unique(tokens[at] << 32 | tokens[at + 1], return_inverse=True)
+        good = np.fromiter(map(self._beside, pairs.tolist()), bool, len(pairs))
+        bad = at[~good[which]]
+        open_, first = np.unique(np.searchsorted(last, bad), return_index=True)
+        begins = last + 1 - sizes
+        listed = tokens.tolist() if len(open_) else []
+        walked = [self._walk(data[k], listed[a:b], listed[b]) for k, a, b in zip(
+            open_.tolist(), begins[open_].tolist(), (bad[first] + 1).tolist(), strict=True)]
+        sizes[open_] = [len(w) for w in walked]
+        begins[open_] = len(tokens) + np.cumsum(sizes[open_]) - sizes[open_]
+        tokens = np.concatenate([tokens, np.fromiter(chain.from_iterable(walked), np.int64)])
+        if len(self.suits) > PAIRS:
+            self.suits.clear()
+        return self.id_of[_runs(tokens, begins, sizes)], sizes
+
+    def _walk(self, piece: str, taken: list[int], token: int) -> list[int]:
+        """Tokens of a pre-token that begins with those taken, behind which the longest one, token,
+        does not suit. A place is reached once: it is left for the end or as failed."""
+        size, shorter, suits, widest, find = \
+            self.size, self.shorter, self.suits, self.widest, self.find
         stop = len(piece)
-        longest = [-1] * (stop + 1)
-        for end, token in self.find.iter(piece):  # later ends are longer tokens
-            longest[end - size[token] + 1] = token
-        taken: list[int] = []
         failed: set[int] = set()
-        at, token, last = 0, longest[0], -1
-        while at < stop:
-            end = at + size[token]
-            fits = end not in failed
-            if fits and last >= 0:
-                pair = last << 32 | token
-                fits = suits.get(pair)
-                if fits is None:
-                    fits = suits[pair] = self._apart(last, token)
-            if fits:
-                taken.append(token)
-                at, last, token = end, token, longest[end]
-            elif shorter[token] >= 0:
-                token = shorter[token]
-            else:
+        at, last = sum([size[t] for t in taken]), taken[-1]
+        while True:
+            token = shorter[token]
+            while token < 0:
                 failed.add(at)
                 token = taken.pop()
                 last = taken[-1] if taken else -1
                 at -= size[token]
-        ids = self.id_of
-        return tuple([ids[t] for t in taken])
+                token = shorter[token]
+            while True:
+                end = at + size[token]
+                if end in failed:
+                    break
+                if last >= 0:
+                    pair = last << 32 | token
+                    fits = suits.get(pair)
+                    if fits is None:
+                        fits = suits[pair] = self._apart(last, token)
+                    if not fits:
+                        break
+                taken.append(token)
+                if end == stop:
+                    return taken
+                at, last = end, token
+                token = next(find.iter_long(piece[at:at + widest]))[1]
 
-    def split(self, text: str, special: bool) -> list[str]:
-        """Pre-tokens; strings of added tokens stand alone if special, else they are plain text."""
+    def split(self, text: str, special: bool) -> list[str | int]:
+        """Pre-tokens; strings of added tokens are their ids if special, else they are plain text."""
         if not special or self.special is None or not self.special.search(text):
             return self.pre_tokens(text)
         return [p for i, part in enumerate(self.special.split(text))
-                for p in ([part] if i % 2 else self.pre_tokens(part))]
+                for p in ([self.added[part]] if i % 2 else self.pre_tokens(part))]
+
+    def _keep(self, pieces: Iterable[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Number the added tokens, then these pre-tokens, and keep the ids of both by number. A
+        pre-token that is looked up for the first time gets the next number."""
+        added = list(dict.fromkeys(self.added.values()))
+        self.known = defaultdict(None, zip(chain(added, pieces), count()))
+        self.known.default_factory = count(len(self.known)).__next__
+        self.ids = np.concatenate([np.array(added, np.int32), ids])
+        self.sizes = np.concatenate([np.ones(len(added), np.int64), sizes])
+
+    def _shrink(self) -> None:
+        """Keep the ids of the latest pre-tokens only, and of none that is very long."""
+        n_added = len(set(self.added.values()))
+        pieces = list(self.known)[n_added:]
+        stays = np.fromiter(map(len, pieces), np.int64, len(pieces)) <= LONGEST_KEPT
+        if len(pieces) > CACHE:
+            stays[:len(pieces) - 3 * CACHE // 4] = False
+        sizes = self.sizes[n_added:]
+        self._keep(compress(pieces, stays.tolist()), sizes[stays],
+                   self.ids[n_added:][np.repeat(stays, sizes)])
+
+    def encode_flat(self, texts: list[str], special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row and the number of each text's. Distinct pre-tokens are encoded
+        together and kept for later texts."""
+        if len(self.known) != len(self.sizes):  # a call before did not come to its end
+            self._keep((), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        before = len(self.known)
+        split = [self.split(t, special) for t in texts]
+        n_pieces = np.array([len(pieces) for pieces in split], np.int64)
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64,
+                              int(n_pieces.sum()))
+        new = list(islice(self.known, before, None))
+        if new:
+            ids, sizes = self.encode_pieces(new)
+            self.ids = np.concatenate([self.ids, ids])
+            self.sizes = np.concatenate([self.sizes, sizes])
+        begins = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[numbers]
+        ids = _runs(self.ids, begins[numbers], sizes)
+        if len(self.known) > CACHE or max(map(len, new), default=0) > LONGEST_KEPT:
+            self._shrink()
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(ends[np.cumsum(n_pieces)], prepend=0)
 
     def encode(self, texts: list[str], special: bool = True) -> list[list[int]]:
-        """Ids of each text. Distinct pre-tokens are encoded together and kept for later texts."""
-        known = self.known
-        split = [self.split(t, special) for t in texts]
-        out = [list(map(known.get, pieces)) for pieces in split]
-        open_: list[tuple[int, int]] = []
-        for t, ids in enumerate(out):
-            at = -1
-            try:
-                while True:
-                    at = ids.index(None, at + 1)
-                    open_.append((t, at))
-            except ValueError:  # none is left
-                pass
-        added = {content: (i,) for content, i in self.added.items()} if special else {}
-        new = list({split[t][at] for t, at in open_}.difference(added))
-        fresh = dict(zip(new, self.encode_pieces(new), strict=True)) | added
-        for t, at in open_:
-            out[t][at] = fresh[split[t][at]]
-        known.update((p, fresh[p]) for p in new if len(p) <= LONGEST_KEPT)
-        if len(known) > CACHE:
-            self.known = dict(islice(known.items(), len(known) - 3 * CACHE // 4, None))
-        return [list(chain.from_iterable(ids)) for ids in out]
+        """Ids of each text."""
+        ids, sizes = self.encode_flat(texts, special)
+        all_, ends = ids.tolist(), np.cumsum(sizes).tolist()
+        return [all_[end - n:end] for end, n in zip(ends, sizes.tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
         """The text of each list; list k is ids[starts[k]:starts[k + 1]]. Ids of no entry have no
@@ -278,10 +324,8 @@ class ByteBPE:
         ids = np.where((ids >= 0) & (ids < len(self.offsets) - 1), ids, -1)
         first = np.where(ids < 0, 0, self.offsets[ids])
         sizes = np.where(ids < 0, 0, self.offsets[ids + 1] - first)
-        ends = np.cumsum(sizes)
-        places = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        data = self.bytes[places].tobytes()
-        border = np.concatenate([[0], ends])[starts].tolist()
+        data = _runs(self.bytes, first, sizes).tobytes()
+        border = np.concatenate([[0], np.cumsum(sizes)])[starts].tolist()
         return [data[a:b].decode("utf-8", "replace")
                 for a, b in zip(border[:-1], border[1:], strict=True)]
 
@@ -305,9 +349,11 @@ def encode(docs: DataFrame, path: str, special: bool = True) -> DataFrame:
         bpe = vocabulary(path)
         for batch in batches:
             for part in steps(batch, "text"):
-                ids = bpe.encode([t or "" for t in part["text"].to_pylist()], special)
+                ids, sizes = bpe.encode_flat([t or "" for t in part["text"].to_pylist()], special)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                    [part["doc_id"], pa.ListArray.from_arrays(ends, pa.array(ids))],
+                    ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

@@ -101,6 +101,41 @@ def test_small_vocabularies_against_plain_merging(tmp_path, seed):
     assert bpe.ByteBPE(str(tmp_path / "v.json")).encode(some) == [plain(t) for t in some]
 
 
+def test_kept_pre_tokens_stay_right(library, monkeypatch):
+    """Ids come in one row for all texts, whatever is kept, forgotten or left half done."""
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    monkeypatch.setattr(bpe, "LONGEST_KEPT", 9)
+    vocabulary = bpe.ByteBPE(PATH_A)
+    parts = [[], ["", ""], *([t or "" for t in ODD] + texts(30, 60, s) for s in (7, 8, 7))]
+    for part in parts:
+        ids, sizes = vocabulary.encode_flat(part)
+        expected = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert ids.tolist() == [i for e in expected for i in e]
+        assert sizes.tolist() == [len(e) for e in expected]
+        assert len(vocabulary.known) == len(vocabulary.sizes) <= 40 + len(vocabulary.added)
+        assert max((len(p) for p in vocabulary.known if isinstance(p, str)), default=0) <= 9
+    with monkeypatch.context() as broken:
+        broken.setattr(vocabulary, "encode_pieces", lambda pieces: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            vocabulary.encode_flat([" unheard ofwords"])
+    assert vocabulary.encode([" unheard ofwords"]) == [library.encode(" unheard ofwords").ids]
+
+
+def test_an_added_token_that_is_a_plain_word(tmp_path):
+    """A vocabulary is shared by callers with and without special tokens."""
+    import json
+    cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    added = {"id": 256, "content": "abc", "single_word": False, "lstrip": False, "rstrip": False}
+    (tmp_path / "v.json").write_text(json.dumps({
+        "normalizer": None, "pre_tokenizer": cut, "added_tokens": [added], "model": {
+            "type": "BPE", "vocab": {c: i for i, c in enumerate(bpe.byte_letters())}, "merges": []}}))
+    vocabulary = bpe.ByteBPE(str(tmp_path / "v.json"))
+    for _ in range(2):
+        assert vocabulary.encode(["abc", "abc d"], special=False) == [[97, 98, 99],
+                                                                      [97, 98, 99, 32, 100]]
+        assert vocabulary.encode(["abc", "abc d"]) == [[256], [256, 32, 100]]
+
+
 def test_decoding(spark, library):
     rng = random.Random(3)
     lists = [None, [], [50256], [None, 64], [60000, -1, 64]] + [
