@@ -37,7 +37,7 @@ def test_a_label_is_only_tried_at_its_letters(spark):
               "Shipping & Handling", "FREIGHT", "ſold by", "Customer:", "ship to", "biLL to", "K",
               "total", "GRAND  TOTAL", "subtotal", "estimated\nfreight", " ", "\n", ":", "#", "€", "12.50",
               "A-7", "x", " "]
-    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 16))) for _ in range(3000)]
+    texts = [rng.choice(["", " "]).join(rng.choices(pieces, k=rng.randint(0, 16))) for _ in range(3000)]
     x = F.col("x")
     frame = spark.createDataFrame([(t,) for t in texts], "x string")
     for pattern in (K.DOCUMENT_NUMBER, K.TAX, K.SHIPPING, K.TOTAL, K.COUNTERPARTY):
@@ -45,7 +45,7 @@ def test_a_label_is_only_tried_at_its_letters(spark):
         plain, quick = [F.regexp_extract_all(x, F.lit(p), F.lit(0))
                         for p in (K.FLAGS + pattern, T.labelled(pattern))]
         assert not frame.filter(plain != quick).collect()
-        assert frame.filter(F.size(plain) > 0).count() > 20
+        assert frame.filter(F.size(plain) > 0).count() > 0
 
 
 def test_texts_are_made_once(spark, traced):
